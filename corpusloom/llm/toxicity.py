@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Training (a bounded sample of labelled rows, ``TRAIN_ROWS`` at most, chosen by a hash of the id): tokens of toxic and clean texts are
-counted, and each token's log-odds get an informative Dirichlet prior from the counts of both together. Tokens whose log-odds stand
+Training (a bounded sample of labelled rows, ``TRAIN_ROWS`` at most, chosen by a hash of the id): the toxic and the clean texts that hold a
+token are counted, and its log-odds get an informative Dirichlet prior from the counts of both together. Tokens whose log-odds stand
 ``Z`` deviations or more from zero form the lexicon; all others share one score, the log-odds of their pooled counts,
 which is below zero. The extreme-value parameters follow from the clean texts: lambda solves
 sum p(s) exp(lambda s) = 1 over their token scores, and K is fitted to their best segments.
@@ -32,7 +32,7 @@ from .common import each_batch, materialize, text_list
 TRAIN_ROWS = 20_000
 #: At most so many tokens form the lexicon, those farthest from zero.
 LEXICON = 20_000
-MIN_DOCS, Z, PRIOR, EXPECT, THRESHOLD = 4, 4.0, 500.0, 0.5, 0.3
+MIN_DOCS, Z, EXPECT, THRESHOLD = 4, 4.0, 0.5, 0.3
 BINS, BIN_TOP = 400, 100.0
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -144,18 +144,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
     rows = materialize(training_rows(docs, labels, most), "toxicity-train")
     words = rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)")).alias("token"))
-    per = words.groupBy("row", "toxic", "token").count()
     is_toxic = F.col("toxic") == 1
-    counted = per.groupBy("token").agg(F.sum(F.when(is_toxic, F.col("count")).otherwise(0)).alias("t"), F.sum(F.when(is_toxic, 0).otherwise(F.col("count"))).alias("c"), F.count("*").alias("docs"))
+    counted = words.distinct().groupBy("token").agg(F.count_if(is_toxic).alias("t"), F.count_if(~is_toxic).alias("c"))
     counted = materialize(counted, "toxicity-tokens")
     n_t, n_c = counted.agg(F.sum("t"), F.sum("c")).first()
     if not n_t or not n_c:
         return ToxicityModel({}, -1.0, 1.0, 1.0, 0.0, 0.0, trained=False)
-    total = n_t + n_c
-    prior = (F.col("t") + F.col("c")) * (PRIOR / total)
-    log_t = F.log((F.col("t") + prior) / (n_t + PRIOR - F.col("t") - prior))
-    log_c = F.log((F.col("c") + prior) / (n_c + PRIOR - F.col("c") - prior))
-    scored = counted.where(F.col("docs") >= MIN_DOCS).withColumn("s", log_t - log_c).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
+    # The prior has the common distribution and weighs as much as the smaller class.
+    mass = float(min(n_t, n_c))
+    prior = (F.col("t") + F.col("c")) * (mass / (n_t + n_c))
+    log_t = F.log((F.col("t") + prior) / (n_t + mass - F.col("t") - prior))
+    log_c = F.log((F.col("c") + prior) / (n_c + mass - F.col("c") - prior))
+    scored = counted.where(F.col("t") + F.col("c") >= MIN_DOCS).withColumn("s", log_t - log_c).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
     kept = scored.where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "token").limit(LEXICON).collect()
     score = {r["token"]: float(r["s"]) for r in kept if r["s"] > 0}
     in_t, in_c = sum(r["t"] for r in kept if r["s"] > 0), sum(r["c"] for r in kept if r["s"] > 0)
