@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pieces, quality, repeats, simhash, toxicity
+from . import langid, licenses, media, packing, pieces, quality, repeats, resharding, simhash, toxicity
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op2_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.op2(table(spark, sf_dir, "documents"))
 
 
 def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +37,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_table(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.encode_table(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +52,12 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_jpeg, op4_simhash, op5_repeats, op6_pieces, op8_segments, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_packing, op2_flow, op3_jpeg, op4_simhash, op5_repeats, op6_pieces, op7_licenses, op8_segments, op9_line_frequency, op10_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
