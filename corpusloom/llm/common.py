@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,11 +32,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{SCRATCH}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path  # noqa: SLF001
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished stages: Spark deletes them when their owners are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; a frame of another origin is left alone."""
     path = getattr(df, "_corpusloom_path", None)

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, materialize
+from .common import discard, each_batch, materialize
 
 WIDTH, KMER = 400, 64
 GROUP_ROWS = 20_000
@@ -259,16 +259,13 @@ def _window_hashes(width: int, k: int):
 def _merge(with_text: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, spans, digest, kept_texts = [], [], [], []
-        for raw, copied, los, his in zip(*(batch.column(c).to_pylist() for c in ("raw", "whole", "lo", "hi")), strict=True):
+        for raw, los, his in zip(*(batch.column(c).to_pylist() for c in ("raw", "lo", "hi")), strict=True):
             runs: list[list[int]] = []
-            if copied:
-                runs = [[0, len(raw)]]
-            elif los:
-                for a, b in sorted(zip(los, his, strict=True)):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
+            for a, b in sorted(zip(los, his, strict=True)):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
             kept, at = [], 0
             for a, b in runs:
                 kept.append(raw[at:a])
@@ -286,30 +283,43 @@ def _merge(with_text: bool):
     return each_batch(run)
 
 
+def text_id(raw: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(raw, 256), 1, 32))
+
+
 def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_rows: int = GROUP_ROWS, batch_rows: int = BATCH_ROWS, with_text: bool = False) -> DataFrame:
-    """A row for each *text* from which something goes: tid (its SHA-256), n_removed, n_spans, kept_sha256 (and kept)."""
-    raw = docs.select(F.col("text").cast("string").cast("binary").alias("raw")).where(F.octet_length("raw") >= width)
-    texts = materialize(raw.select(F.unhex(F.sha2("raw", 256)).alias("tid"), "raw").groupBy("tid").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("whole")), "texts")
+    """A row for each *text* from which something goes: tid (``text_id``), n_removed, n_spans, kept_sha256 (and kept)."""
+    raw = docs.select(F.col("text").cast("string").cast("binary").alias("raw")).where(F.octet_length("raw") >= width).withColumn("tid", text_id(F.col("raw")))
+    texts = materialize(raw.groupBy("tid").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("whole")).withColumn("n_bytes", F.octet_length("raw").cast("long")), "texts")
     found = materialize(texts.select("tid", "raw").mapInArrow(_anchor_batch(width, k), "tid binary, pos int, anchor long"), "anchors")
     shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    marked = found.join(shared, "anchor").groupBy("tid").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"))
-    fragments = materialize(marked.join(texts.select("tid", "raw"), "tid").select("tid", "raw", "pos", "anchor").mapInArrow(_fragment_batch(width, k), "tid binary, pos int, anchor long, head int, fid binary, part binary"), "fragments")
-    kinds = fragments.groupBy("anchor", "fid").agg(F.first("head").alias("head"), F.first("part").alias("part"), F.count("*").alias("n"))
-    large = fragments.groupBy("anchor", "fid").agg(F.lit(1).alias("one")).groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor")
+    marked = materialize(found.join(shared, "anchor").groupBy("tid").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor")), "marked")
+    discard(found)
+    # Texts with a shared anchor; only these are cut into fragments and, unless they go wholly, spliced in the end.
+    maybe = materialize(texts.select("tid", "raw", "whole").join(marked, "tid"), "maybe")
+    discard(marked)
+    fragments = materialize(maybe.select("tid", "raw", "pos", "anchor").mapInArrow(_fragment_batch(width, k), "tid binary, pos int, anchor long, head int, fid binary, part binary"), "fragments")
+    kinds = materialize(fragments.groupBy("anchor", "fid").agg(F.first("head").alias("head"), F.first("part").alias("part"), F.count("*").alias("n")), "kinds")
+    large = kinds.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor")
     built = kinds.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "fid").mapInArrow(_construct(width, k, batch_rows), "anchor long, fid binary, lo int, hi int")
-    windows = kinds.join(large, "anchor", "left_semi").mapInArrow(_window_hashes(width, k), "anchor long, fid binary, lo int, w binary")
+    hot = kinds.join(large, "anchor", "left_semi")
+    windows = hot.mapInArrow(_window_hashes(width, k), "anchor long, fid binary, lo int, w binary")
     again = windows.groupBy("anchor", "lo", "w").count().where("count > 1").select("anchor", "lo", "w")
-    copied = kinds.join(large, "anchor", "left_semi").where((F.col("n") > 1) & (F.octet_length("part") >= width)).select("anchor", "fid", (-F.col("head")).alias("lo"), (F.octet_length("part") - F.col("head")).alias("hi"))
+    copied = hot.where((F.col("n") > 1) & (F.octet_length("part") >= width)).select("anchor", "fid", (-F.col("head")).alias("lo"), (F.octet_length("part") - F.col("head")).alias("hi"))
     counted = windows.join(again, ["anchor", "lo", "w"]).select("anchor", "fid", "lo", (F.col("lo") + width).alias("hi")).union(copied)
-    spans = fragments.select("tid", "pos", "anchor", "fid").join(built.union(counted), ["anchor", "fid"]).select("tid", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    covered = materialize(built.union(counted), "covered")
+    spans = fragments.select("tid", "pos", "anchor", "fid").join(covered, ["anchor", "fid"]).select("tid", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     by_text = spans.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    some = texts.join(by_text, "tid", "left").where(F.col("whole") | F.col("lo").isNotNull())
+    some = maybe.where(~F.col("whole")).select("tid", "raw").join(by_text, "tid")
+    kept = [F.lit("").alias("kept")] if with_text else []
+    gone = texts.where("whole").select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *kept)
     schema = "tid binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
-    return some.select("tid", "raw", "whole", "lo", "hi").mapInArrow(_merge(with_text), schema)
+    return gone.union(some.select("tid", "raw", "lo", "hi").mapInArrow(_merge(with_text), schema))
 
 
 def op5(docs: DataFrame) -> DataFrame:
     cut = repeated_passages(docs)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw")).select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha"))
-    keyed = rows.withColumn("tid", F.unhex("sha"))
+    keyed = rows.withColumn("tid", F.unhex(F.substring("sha", 1, 32)))
     return keyed.join(cut, "tid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
