@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .similarity import ratio
 
 _WS = fixed.white_space_class()
 
@@ -34,10 +34,14 @@ def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(t.split()).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two texts; its value may depend on their order."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity(least: float):
+    """A function of two columns: their matching-blocks ratio, which may depend on their order; 0 where a bound shows less than ``least``."""
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return similarity
 
 
 def _only_beyond_ascii(text: Column, udf) -> Column:

@@ -93,11 +93,10 @@ def fuzzy_edges(rows: DataFrame) -> DataFrame:
         & (2 * F.least("l.n", "r.n") >= (ratio - slack) * total)
     )
     near = bucketed_range_join(spread, sized, "at", limit, bound, ["size"])
-    # Matching blocks are a common subsequence, so the edit distance is at most what the ratio leaves over.
-    edits = F.floor((1 - ratio + slack) * total).cast("int")
-    far = F.expr("levenshtein(l.key, r.key)") > edits
-    pairs = near.where(~far).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.key").alias("x"), F.col("r.key").alias("y"))
-    linked = pairs.where(text.similarity(F.col("x"), F.col("y")) >= ratio).select("a", "b")
+    pairs = near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.key").alias("x"), F.col("r.key").alias("y"))
+    # Few rows with much work each: dealt out by number, so that they aren't coalesced into one task by their size.
+    pairs = pairs.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    linked = pairs.where(text.similarity(ratio)(F.col("x"), F.col("y")) >= ratio).select("a", "b")
     # Rows that the grouping joined hang on their representative.
     same = rows.where("at is not null").join(kinds.select("key", "source", "at", "id"), ["key", "source", "at"]).where("utterance_id <> id").select(F.col("utterance_id").alias("a"), F.col("id").alias("b"))
     partners = linked.select("a").union(linked.select("b")).distinct().withColumnRenamed("a", "b")
