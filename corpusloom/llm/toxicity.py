@@ -112,19 +112,27 @@ def extreme_value_lambda(scores: np.ndarray, weight: np.ndarray) -> float:
 
 
 def fit_logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Offset and slope by Newton steps on binned counts."""
-    w = np.zeros(2)
-    design = np.stack([np.ones_like(x), x], axis=1)
+    """Offset and slope by Newton steps on binned counts; a step is halved until the penalised likelihood, which is concave, grows."""
+    scale = max(1.0, float(np.abs(x).max(initial=1.0)))
+    design = np.stack([np.ones_like(x), x / scale], axis=1)
     n = toxic + clean
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
+
+    def gain(w: np.ndarray) -> float:
+        z = design @ w
+        return float((toxic * z - n * np.logaddexp(0, z)).sum() - ridge / 2 * (w * w).sum())
+
+    w, now = np.zeros(2), gain(np.zeros(2))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
         grad = design.T @ (toxic - n * p) - ridge * w
-        hess = (design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), grad)
+        while np.abs(step).max() > 1e-9 and gain(w + step) < now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return float(w[0]), float(w[1])
+        w = w + step
+        now = gain(w)
+    return float(w[0]), float(w[1] / scale)
 
 
 def held_out(doc_id) -> object:
