@@ -35,6 +35,8 @@ WIDTH, KMER = 400, 64
 GROUP_ROWS = 20_000
 #: Fragments that a task holds at once, unless a single group has more.
 BATCH_ROWS = 10_000
+#: Fragments that a task passes on at once.
+FRAGMENTS_OUT = 5_000
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -46,7 +48,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers[name]
     if len(have) < n:
         have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * len(have)), base, np.uint64)]), dtype=np.uint64)
-        if len(have) <= 1 << 22:
+        if len(have) <= 1 << 19:
             _powers[name] = have
     return have[:n]
 
@@ -102,8 +104,10 @@ def anchors(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarra
 def _anchor_batch(width: int, k: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, pos, hashes = [], [], []
-        for i, t in zip(batch.column("tid").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            p, h = anchors(np.frombuffer(t, np.uint8), width, k)
+        tids, raws = batch.column("tid"), batch.column("raw")
+        for n in range(batch.num_rows):
+            i = tids[n].as_py()
+            p, h = anchors(np.frombuffer(raws[n].as_buffer(), np.uint8), width, k)
             ids += [i] * len(p)
             pos.append(p)
             hashes.append(h)
@@ -117,19 +121,28 @@ def _anchor_batch(width: int, k: int):
 def _fragment_batch(width: int, k: int):
     reach = width - k
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        for i, t, pos, found in zip(batch.column("tid").to_pylist(), batch.column("raw").to_pylist(), batch.column("pos").to_pylist(), batch.column("anchor").to_pylist(), strict=True):
-            for p, a in zip(pos, found, strict=True):
-                head = min(p, reach)
-                part = t[p - head : p + width]
-                rows.append((i, p, a, head, xxhash.xxh3_128_digest(part + head.to_bytes(4, "little")), part))
-        if not rows:
-            return None
-        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tid", "pos", "anchor", "head", "fid", "part"])
 
-    return each_batch(run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("tid", "raw", "pos", "anchor")]
+            for n in range(batch.num_rows):
+                i, t, pos, found = (c[n].as_py() for c in columns)
+                for p, a in zip(pos, found, strict=True):
+                    head = min(p, reach)
+                    part = t[p - head : p + width]
+                    rows.append((i, p, a, head, xxhash.xxh3_128_digest(part + head.to_bytes(4, "little")), part))
+                    if len(rows) == FRAGMENTS_OUT:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
+
+    return run
 
 
 def repeated_windows(group: np.ndarray, parts: list[bytes], heads: np.ndarray, width: int, reach: int) -> np.ndarray:
