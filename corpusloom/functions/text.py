@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from . import fixed
 from .similarity import ratio
@@ -19,17 +20,17 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(t.split()).casefold(), na_action="ignore")
 
@@ -37,7 +38,7 @@ def _folded(texts: pd.Series) -> pd.Series:
 def similarity(least: float):
     """A function of two columns: their matching-blocks ratio, which may depend on their order; 0 where a bound shows less than ``least``."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
 
