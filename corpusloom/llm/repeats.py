@@ -37,6 +37,8 @@ GROUP_ROWS = 20_000
 BATCH_ROWS = 10_000
 #: Fragments that a task passes on at once.
 FRAGMENTS_OUT = 5_000
+#: Windows of a large group that a task passes on at once.
+WINDOWS_OUT = 20_000
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -253,20 +255,27 @@ def _construct(width: int, k: int, batch_rows: int):
     return run
 
 
-def _window_hashes(width: int, k: int):
-    reach = width - k
+def _window_hashes(width: int):
+    """Streams a row for each window of a fragment, in batches of bounded size; equal ``w`` means equal bytes in equal columns."""
+    kinds = (pa.binary(), pa.bool_(), pa.int32(), pa.binary())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        for a, f, head, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "fid", "head", "part")), strict=True):
-            rows += [(a, f, s - head, xxhash.xxh3_128_digest(part[s : s + width])) for s in range(min(head, len(part) - width) + 1)]
-        if not rows:
-            return None
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "fid", "lo", "w"])
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fid", "once", "lo", "w"])
 
-    assert reach > 0
-    return each_batch(run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("fid", "head", "part", "n")]
+            for i in range(batch.num_rows):
+                f, head, part, n = (c[i].as_py() for c in columns)
+                rows += [(f, n == 1, s - head, xxhash.xxh3_128_digest(part[s : s + width], seed=head - s)) for s in range(min(head, len(part) - width) + 1)]
+                if len(rows) >= WINDOWS_OUT:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
+
+    return run
 
 
 def _merge(with_text: bool):
@@ -306,23 +315,26 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_
     raw = docs.select(F.col("text").cast("string").cast("binary").alias("raw")).where(F.octet_length("raw") >= width).withColumn("tid", text_id(F.col("raw")))
     texts = materialize(raw.groupBy("tid").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("whole")).withColumn("n_bytes", F.octet_length("raw").cast("long")), "texts")
     found = materialize(texts.select("tid", "raw").mapInArrow(_anchor_batch(width, k), "tid binary, pos int, anchor long"), "anchors")
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that both sides of the join are shuffled for it and a frequent anchor can be split.
+    shared = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     marked = materialize(found.join(shared, "anchor").groupBy("tid").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor")), "marked")
     discard(found)
+    discard(shared)
     # Texts with a shared anchor; only these are cut into fragments and, unless they go wholly, spliced in the end.
     maybe = materialize(texts.select("tid", "raw", "whole").join(marked, "tid"), "maybe")
     discard(marked)
     fragments = materialize(maybe.select("tid", "raw", "pos", "anchor").mapInArrow(_fragment_batch(width, k), "tid binary, pos int, anchor long, head int, fid binary, part binary"), "fragments")
     kinds = materialize(fragments.groupBy("anchor", "fid").agg(F.first("head").alias("head"), F.first("part").alias("part"), F.count("*").alias("n")), "kinds")
-    large = kinds.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor")
+    large = materialize(kinds.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor"), "large")
     built = kinds.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "fid").mapInArrow(_construct(width, k, batch_rows), "anchor long, fid binary, lo int, hi int")
-    hot = kinds.join(large, "anchor", "left_semi")
-    windows = hot.mapInArrow(_window_hashes(width, k), "anchor long, fid binary, lo int, w binary")
-    again = windows.groupBy("anchor", "lo", "w").count().where("count > 1").select("anchor", "lo", "w")
-    copied = hot.where((F.col("n") > 1) & (F.octet_length("part") >= width)).select("anchor", "fid", (-F.col("head")).alias("lo"), (F.octet_length("part") - F.col("head")).alias("hi"))
-    counted = windows.join(again, ["anchor", "lo", "w"]).select("anchor", "fid", "lo", (F.col("lo") + width).alias("hi")).union(copied)
-    covered = materialize(built.union(counted), "covered")
-    spans = fragments.select("tid", "pos", "anchor", "fid").join(covered, ["anchor", "fid"]).select("tid", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    hot = kinds.join(large, "anchor", "left_semi").select("fid", "head", "part", "n").repartition("fid")
+    windows = hot.mapInArrow(_window_hashes(width), "fid binary, once boolean, lo int, w binary")
+    again = windows.groupBy("w").count().where("count > 1").select("w")
+    copied = hot.where((F.col("n") > 1) & (F.octet_length("part") >= width)).select("fid", (-F.col("head")).alias("lo"), (F.octet_length("part") - F.col("head")).alias("hi"))
+    # Windows of a fragment start less than ``width`` apart, so together they cover one run.
+    counted = windows.where("once").select("fid", "lo", "w").join(again, "w").groupBy("fid").agg(F.min("lo").alias("lo"), (F.max("lo") + width).alias("hi"))
+    covered = materialize(built.select("fid", "lo", "hi").union(counted).union(copied), "covered")
+    spans = fragments.select("tid", "pos", "fid").join(covered, "fid").select("tid", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     by_text = spans.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     some = maybe.where(~F.col("whole")).select("tid", "raw").join(by_text, "tid")
     kept = [F.lit("").alias("kept")] if with_text else []
