@@ -10,7 +10,8 @@ hash is its anchor, so equal windows have equal anchors at one place; an anchor
 a repeat. A fragment is what windows with that anchor can reach (``width - k`` bytes before it, ``width`` from it on),
 and fragments of one anchor are aligned on it: equal windows stand in the same columns. Groups of fragments stream
 through a task in order of their anchor, as sequential external files, and equal fragments are one row with a count.
-A group of more than ``group_rows`` different fragments isn't built in one task: its windows are counted by a 128-bit hash instead.
+A group of more than ``group_rows`` different fragments isn't built in one task: its windows are counted by a 128-bit hash instead,
+after steps of windows that are shared as a whole or can't be shared.
 
 Texts that several rows share are one text with a count; whole copies of ``width`` bytes or more are removed wholly.
 
@@ -39,6 +40,8 @@ BATCH_ROWS = 10_000
 FRAGMENTS_OUT = 5_000
 #: Windows of a large group that a task passes on at once.
 WINDOWS_OUT = 20_000
+#: Steps into which the starting columns of a large group are divided.
+STEPS = 16
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -255,20 +258,54 @@ def _construct(width: int, k: int, batch_rows: int):
     return run
 
 
-def _window_hashes(width: int):
-    """Streams a row for each window of a fragment, in batches of bounded size; equal ``w`` means equal bytes in equal columns."""
-    kinds = (pa.binary(), pa.bool_(), pa.int32(), pa.binary())
+def _starts(head: int, size: int, j: int, step: int, width: int, reach: int) -> tuple[int, int]:
+    """The first and last column, of step ``j``, in which a window of the fragment starts; last < first if none does."""
+    first = reach - head
+    return max(first, j * step), min(first + size - width, reach, (j + 1) * step - 1)
+
+
+def _packer(names: list[str], kinds: tuple):
+    return lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _slices(width: int, k: int, step: int):
+    """Streams a row for each step of a fragment: hashes of all bytes of its windows, and of the core that each window of the step has."""
+    reach, packed = width - k, _packer(["fid", "j", "slice", "core", "lo", "hi"], (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("fid", "head", "part")]
+            for i in range(batch.num_rows):
+                f, head, part = (c[i].as_py() for c in columns)
+                skip = reach - head
+                for j in range(reach // step + 1):
+                    a, b = _starts(head, len(part), j, step, width, reach)
+                    if a <= b:
+                        core = part[min((j + 1) * step - 1, reach) - skip : j * step + width - skip]
+                        rows.append((f, j, xxhash.xxh3_128_digest(part[a - skip : b + width - skip], seed=a), xxhash.xxh3_128_digest(core, seed=j), a - reach, b - reach + width))
+                if len(rows) >= WINDOWS_OUT:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
+
+    return run
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fid", "once", "lo", "w"])
+
+def _window_hashes(width: int, k: int, step: int):
+    """Streams a row for each window of a slice, in batches of bounded size; equal ``w`` means equal bytes in equal columns."""
+    reach, packed = width - k, _packer(["slice", "once", "lo", "w"], (pa.binary(), pa.bool_(), pa.int32(), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(c) for c in ("fid", "head", "part", "n")]
+            columns = [batch.column(c) for c in ("slice", "once", "j", "head", "part")]
             for i in range(batch.num_rows):
-                f, head, part, n = (c[i].as_py() for c in columns)
-                rows += [(f, n == 1, s - head, xxhash.xxh3_128_digest(part[s : s + width], seed=head - s)) for s in range(min(head, len(part) - width) + 1)]
+                x, once, j, head, part = (c[i].as_py() for c in columns)
+                a, b = _starts(head, len(part), j, step, width, reach)
+                skip = reach - head
+                rows += [(x, once, c - reach, xxhash.xxh3_128_digest(part[c - skip : c - skip + width], seed=c)) for c in range(a, b + 1)]
                 if len(rows) >= WINDOWS_OUT:
                     yield packed(rows)
                     rows = []
@@ -278,6 +315,24 @@ def _window_hashes(width: int):
     return run
 
 
+def _count_windows(hot: DataFrame, width: int, k: int, step: int) -> DataFrame:
+    """(fid, lo, hi) of the fragments of large groups (fid, head, part, n) with windows that another fragment has too.
+
+    Starting columns are taken in steps. Fragments that agree in all bytes of a step share all its windows, and one whose core,
+    the bytes that all windows of the step have, is its own shares none; only the rest is counted window by window.
+    """
+    slices = materialize(hot.mapInArrow(_slices(width, k, step), "fid binary, j int, slice binary, core binary, lo int, hi int"), "slices")
+    per = materialize(slices.groupBy("slice").agg(F.first("core").alias("core"), F.min(F.struct("fid", "j", "lo", "hi")).alias("m"), (F.count("*") == 1).alias("once")).select("slice", "core", "once", "m.*"), "per-slice")
+    cores = per.groupBy("core").count().where("count > 1").select("core")
+    some = per.join(cores, "core", "left_semi").select("slice", "once", "fid", "j").join(hot.select("fid", "head", "part"), "fid")
+    windows = some.mapInArrow(_window_hashes(width, k, step), "slice binary, once boolean, lo int, w binary")
+    again = windows.groupBy("w").count().where("count > 1").select("w")
+    counted = windows.where("once").select("slice", "lo", "w").join(again, "w").groupBy("slice").agg(F.min("lo").alias("lo"), (F.max("lo") + width).alias("hi"))
+    hits = materialize(per.where("not once").select("slice", "lo", "hi").union(counted), "hits")
+    # Windows of a fragment start less than ``width`` apart, so together they cover one run.
+    return slices.select("fid", "slice").join(hits, "slice").groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def _merge(with_text: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, spans, digest, kept_texts = [], [], [], []
@@ -327,13 +382,9 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_
     kinds = materialize(fragments.groupBy("anchor", "fid").agg(F.first("head").alias("head"), F.first("part").alias("part"), F.count("*").alias("n")), "kinds")
     large = materialize(kinds.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor"), "large")
     built = kinds.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "fid").mapInArrow(_construct(width, k, batch_rows), "anchor long, fid binary, lo int, hi int")
-    hot = kinds.join(large, "anchor", "left_semi").select("fid", "head", "part", "n").repartition("fid")
-    windows = hot.mapInArrow(_window_hashes(width), "fid binary, once boolean, lo int, w binary")
-    again = windows.groupBy("w").count().where("count > 1").select("w")
+    hot = materialize(kinds.join(large, "anchor", "left_semi").select("fid", "head", "part", "n").repartition("fid"), "hot")
     copied = hot.where((F.col("n") > 1) & (F.octet_length("part") >= width)).select("fid", (-F.col("head")).alias("lo"), (F.octet_length("part") - F.col("head")).alias("hi"))
-    # Windows of a fragment start less than ``width`` apart, so together they cover one run.
-    counted = windows.where("once").select("fid", "lo", "w").join(again, "w").groupBy("fid").agg(F.min("lo").alias("lo"), (F.max("lo") + width).alias("hi"))
-    covered = materialize(built.select("fid", "lo", "hi").union(counted).union(copied), "covered")
+    covered = materialize(built.select("fid", "lo", "hi").union(_count_windows(hot, width, k, max(1, (width - k) // STEPS))).union(copied), "covered")
     spans = fragments.select("tid", "pos", "fid").join(covered, "fid").select("tid", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     by_text = spans.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     some = maybe.where(~F.col("whole")).select("tid", "raw").join(by_text, "tid")

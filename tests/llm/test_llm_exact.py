@@ -223,8 +223,9 @@ def passages(texts: dict, width: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("group_rows,batch_rows", [(20_000, 10_000), (1, 3)])
-def test_repeats_equal_brute_force(spark, group_rows, batch_rows):
+@pytest.mark.parametrize("group_rows,batch_rows,steps", [(20_000, 10_000, 16), (1, 3, 16), (1, 3, 4)])
+def test_repeats_equal_brute_force(spark, monkeypatch, group_rows, batch_rows, steps):
+    monkeypatch.setattr(repeats, "STEPS", steps)
     rng = random.Random(7)
     texts = {}
     shared = ["".join(rng.choice("abc") for _ in range(rng.randint(15, 60))) for _ in range(6)]
