@@ -2,8 +2,8 @@
 
 A line is normalised (ASCII and Unicode lower case, digits to ``0``, runs of white space to one space) and hashed to 64
 bits. For each host (``source``) the number of *distinct documents* that hold a line is counted; copies of a document
-are one document: it is known by its longest line, which exact copies and nearly all near copies share, so a
-group of copies does not turn its own lines into boilerplate. Lines above ``max_docs`` are removed, and a document
+are one document: it is known by a hash of its whole text, so a group of exact copies does not turn its own lines into
+boilerplate, while documents that differ in one line only count as several. Lines above ``max_docs`` are removed, and a document
 of which less than ``min_left`` of the words stays is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base rules (fewer than 10 words); a null host is a host
@@ -75,13 +75,11 @@ def base_counts(text: str) -> tuple:
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     kinds: dict[int, int] = {}
-    longest = (0, 0)
     for line, times in Counter(lines).items():
         plain = normalised_line(line.decode()).encode()
         h = _signed(xxhash.xxh64_intdigest(plain, 7))
         kinds[h] = kinds.get(h, 0) + times * len(line.split())
-        longest = max(longest, (len(plain), h))
-    return len(words), chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), list(kinds), list(kinds.values()), longest[1]
+    return len(words), chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), list(kinds), list(kinds.values()), _signed(xxhash.xxh64_intdigest(raw, 7))
 
 
 def _base(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from corpusloom.llm import minhash
+from corpusloom.llm import minhash, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,3 +62,18 @@ def test_near_duplicates_equal_brute_force(spark):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts.items()), chunk).collect()} == want
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts.items()), "").collect()}
     assert kept == {i for i, r in want.items() if i == r} and len(kept) < len(texts)
+
+
+NOTICE = " ".join(f"{w} cookies" for w in "this page and all of its partners store read keep share sell combine compare measure list sort".split())
+
+
+def test_shared_longest_line_counts_each_document(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{NOTICE}\n{' '.join(prose(rng, 4))}") for i in range(60)]  # depleted: a long shared line, a short own one
+    rows += [(1000 + i, "\n".join([NOTICE, " ".join(prose(rng, 40))])) for i in range(5)]
+    copied = " ".join(prose(rng, 40))
+    rows += [(2000 + i, copied) for i in range(90)]
+    out = {r.doc_id: r for r in quality.op9(frame(spark, rows)).collect()}
+    assert all(not out[i].base_failed and not out[i].kept and out[i].left_words == 4 for i in range(60))
+    assert all(out[1000 + i].kept and out[1000 + i].left_words == 40 for i in range(5))
+    assert all(out[2000 + i].kept and out[2000 + i].left_words == 40 for i in range(90))
