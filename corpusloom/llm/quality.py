@@ -1,10 +1,10 @@
 """Quality rules: per-text counts and cross-document line frequency.
 
 A line is normalised (ASCII and Unicode lower case, digits to ``0``, runs of white space to one space) and hashed to 64
-bits. For each host (``source``) the number of *distinct documents* that hold a line is counted; copies of a document
-are one document: it is known by a hash of its whole text, so a group of exact copies does not turn its own lines into
-boilerplate, while documents that differ in one line only count as several. Lines above ``max_docs`` are removed, and a document
-of which less than ``min_left`` of the words stays is depleted and rejected.
+bits. For each host (``source``) the number of *distinct documents* that hold a line is counted, whether or not they pass the
+base rules; copies of a document are one document: it is known by a hash of its whole text, so a group of exact copies does not
+turn its own lines into boilerplate, while documents that differ in one line only count as several. Lines above ``max_docs`` are
+removed, and a document of which less than ``min_left`` of the words stays is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base rules (fewer than 10 words); a null host is a host
 of its own; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
@@ -96,7 +96,7 @@ def quality_table(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     """Base counts and verdict of each document: the columns of the contract plus ``left_words`` and ``row_no``."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id"), F.col(host).alias("host"), F.col("text").cast("string").alias("text"))
     base = materialize(rows.mapInArrow(each_batch(_base), BASE_SCHEMA), "quality")
-    lines = base.where(~F.col("base_failed")).select("row_no", F.coalesce("host", F.lit("")).alias("host"), "identity", F.inline(F.arrays_zip("line_hash", "line_words"))).withColumnsRenamed({"line_hash": "h", "line_words": "w"})
+    lines = base.select("row_no", F.coalesce("host", F.lit("")).alias("host"), "identity", F.inline(F.arrays_zip("line_hash", "line_words"))).withColumnsRenamed({"line_hash": "h", "line_words": "w"})
     # Two counting steps, each with a partial one before its shuffle: no line gathers its documents in one task.
     common = lines.groupBy("host", "h", "identity").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     gone = lines.join(common.select("host", "h"), ["host", "h"]).groupBy("row_no").agg(F.sum("w").alias("gone"))

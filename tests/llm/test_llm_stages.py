@@ -77,3 +77,15 @@ def test_shared_longest_line_counts_each_document(spark):
     assert all(not out[i].base_failed and not out[i].kept and out[i].left_words == 4 for i in range(60))
     assert all(out[1000 + i].kept and out[1000 + i].left_words == 40 for i in range(5))
     assert all(out[2000 + i].kept and out[2000 + i].left_words == 40 for i in range(90))
+
+
+def test_lines_of_failing_documents_count(spark):
+    rng = random.Random(5)
+    line = "Subscribe to our letter"
+    rows = [(i, f"{line}\n{' '.join(prose(rng, 40))}") for i in range(40)]
+    rows += [(1000 + i, f"{line}\n{' '.join(prose(rng, 3))}") for i in range(20)]  # under ten words
+    rows += [(2000 + i, f"Only on forty pages\n{' '.join(prose(rng, 40))}") for i in range(40)]
+    out = {r.doc_id: r for r in quality.op9(frame(spark, rows)).collect()}
+    assert all(out[i].kept and out[i].left_words == 40 for i in range(40))
+    assert all(out[1000 + i].base_failed and not out[1000 + i].kept for i in range(20))
+    assert all(out[2000 + i].kept and out[2000 + i].left_words == 44 for i in range(40))
