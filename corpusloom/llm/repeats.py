@@ -333,28 +333,42 @@ def _count_windows(hot: DataFrame, width: int, k: int, step: int) -> DataFrame:
     return slices.select("fid", "slice").join(hits, "slice").groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _merge(with_text: bool):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        removed, spans, digest, kept_texts = [], [], [], []
-        for raw, los, his in zip(*(batch.column(c).to_pylist() for c in ("raw", "lo", "hi")), strict=True):
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words that lie wholly between the bytes ``a`` and ``b``."""
+    cut_first = a > 0 and not raw[a - 1 : a].isspace() and not raw[a : a + 1].isspace()
+    cut_last = b < len(raw) and not raw[b - 1 : b].isspace() and not raw[b : b + 1].isspace()
+    return len(raw[a:b].split()) - cut_first - cut_last
+
+
+def _merge(with_text: bool, min_words: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        tids, removed, spans, digest, kept_texts = [], [], [], [], []
+        for tid, raw, los, his in zip(*(batch.column(c).to_pylist() for c in ("tid", "raw", "lo", "hi")), strict=True):
             runs: list[list[int]] = []
             for a, b in sorted(zip(los, his, strict=True)):
                 if runs and a <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], b)
                 else:
                     runs.append([a, b])
+            if min_words:
+                runs = [r for r in runs if whole_words(raw, *r) >= min_words]
+                if not runs:
+                    continue
             kept, at = [], 0
             for a, b in runs:
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
             left = b"".join(kept)
+            tids.append(tid)
             removed.append(len(raw) - len(left))
             spans.append(len(runs))
             digest.append(hashlib.sha256(left).hexdigest())
             if with_text:
                 kept_texts.append(left.decode("utf-8", "ignore"))
-        arrays = [batch.column("tid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
+        if not tids:
+            return None
+        arrays = [pa.array(tids, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
         return pa.RecordBatch.from_arrays([*arrays, *([pa.array(kept_texts, pa.string())] if with_text else [])], names=["tid", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     return each_batch(run)
@@ -365,8 +379,11 @@ def text_id(raw: Column) -> Column:
     return F.unhex(F.substring(F.sha2(raw, 256), 1, 32))
 
 
-def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_rows: int = GROUP_ROWS, batch_rows: int = BATCH_ROWS, with_text: bool = False) -> DataFrame:
-    """A row for each *text* from which something goes: tid (``text_id``), n_removed, n_spans, kept_sha256 (and kept)."""
+def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_rows: int = GROUP_ROWS, batch_rows: int = BATCH_ROWS, with_text: bool = False, min_words: int = 0) -> DataFrame:
+    """A row for each *text* from which something goes: tid (``text_id``), n_removed, n_spans, kept_sha256 (and kept).
+
+    With ``min_words``, only runs of repeated bytes that hold so many whole words go.
+    """
     raw = docs.select(F.col("text").cast("string").cast("binary").alias("raw")).where(F.octet_length("raw") >= width).withColumn("tid", text_id(F.col("raw")))
     texts = materialize(raw.groupBy("tid").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("whole")).withColumn("n_bytes", F.octet_length("raw").cast("long")), "texts")
     found = materialize(texts.select("tid", "raw").mapInArrow(_anchor_batch(width, k), "tid binary, pos int, anchor long"), "anchors")
@@ -389,9 +406,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_
     by_text = spans.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     some = maybe.where(~F.col("whole")).select("tid", "raw").join(by_text, "tid")
     kept = [F.lit("").alias("kept")] if with_text else []
-    gone = texts.where("whole").select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *kept)
+    enough = F.size(F.split(F.trim(F.lit("\t\n\x0b\f\r "), F.col("raw").cast("string")), r"\s+")) >= min_words
+    gone = texts.where("whole").where(enough if min_words else F.lit(True)).select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *kept)
     schema = "tid binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
-    return gone.union(some.select("tid", "raw", "lo", "hi").mapInArrow(_merge(with_text), schema))
+    return gone.union(some.select("tid", "raw", "lo", "hi").mapInArrow(_merge(with_text, min_words), schema))
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from corpusloom.llm import minhash, quality
+from corpusloom.llm import minhash, quality, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,3 +89,20 @@ def test_lines_of_failing_documents_count(spark):
     assert all(out[i].kept and out[i].left_words == 40 for i in range(40))
     assert all(out[1000 + i].base_failed and not out[1000 + i].kept for i in range(20))
     assert all(out[2000 + i].kept and out[2000 + i].left_words == 44 for i in range(40))
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    rng = random.Random(6)
+    short = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))  # 101 bytes
+    passages = [" ".join(prose(rng, 51)), " ".join(prose(rng, 60)), short]
+    spare = " ".join(prose(rng, 50))  # one word too few
+    own = [[" ".join(prose(rng, 80)) for _ in range(2)] for _ in range(8)]
+    rows = [(i, f"{own[i][0]} {[*passages, spare][i // 2]} {own[i][1]}") for i in range(8)]
+    out = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()}
+    for i, text in rows:
+        if i < 6:
+            left = out[i].text  # the blanks beside the passage, and a letter that happens to be shared, may go with it
+            assert passages[i // 2][2:-2] not in left and len("".join(own[i])) - 4 <= len(left) <= len(" ".join(own[i])) + 1 and out[i].n_chars == len(left)
+        else:
+            assert out[i].text == text
+    assert repeats.whole_words(b"ab cd ef", 1, 7) == 1 and repeats.whole_words(b"ab cd ef", 0, 8) == 3 and repeats.whole_words(b"ab cd ef", 2, 6) == 1
