@@ -106,3 +106,16 @@ def test_passages_of_over_fifty_words_go(spark):
         else:
             assert out[i].text == text
     assert repeats.whole_words(b"ab cd ef", 1, 7) == 1 and repeats.whole_words(b"ab cd ef", 0, 8) == 3 and repeats.whole_words(b"ab cd ef", 2, 6) == 1
+
+
+def test_repeated_and_null_id_rows_stay_once(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(prose(rng, 120)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4])]
+    rows += [(None, "too short")]
+    docs = frame(spark, [(i, t) for i, t in rows])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name.replace(" ", "-"))
+        assert {r.text for r in docs.collect()} == set(texts), name
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(1, texts[0]), (0, texts[1]), (0, texts[2]), (2, texts[3]), (2, texts[4])])
