@@ -223,26 +223,48 @@ def passages(texts: dict, width: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("group_rows,batch_rows,steps", [(20_000, 10_000, 16), (1, 3, 16), (1, 3, 4)])
-def test_repeats_equal_brute_force(spark, monkeypatch, group_rows, batch_rows, steps):
-    monkeypatch.setattr(repeats, "STEPS", steps)
-    rng = random.Random(7)
-    texts = {}
+def repeating(rng):
     shared = ["".join(rng.choice("abc") for _ in range(rng.randint(15, 60))) for _ in range(6)]
+    texts = {}
     for d in range(60):
         parts = [rng.choice([rng.choice(shared), "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))), rng.choice("xy") * rng.randint(1, 40)]) for _ in range(rng.randint(0, 6))]
-        texts[d] = "".join(parts).encode()
+        texts[d] = "".join(parts)
     texts[60] = texts[61] = texts[5]
-    want = passages(texts, 20)
-    rows = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string")
-    cut = repeats.repeated_passages(rows, width=20, k=6, group_rows=group_rows, batch_rows=batch_rows)
+    return texts
+
+
+@pytest.mark.parametrize("group_rows,batch_rows,steps", [(20_000, 10_000, 16), (1, 3, 16), (3, 3, 4)])
+def test_repeats_equal_brute_force(spark, monkeypatch, group_rows, batch_rows, steps):
+    monkeypatch.setattr(repeats, "STEPS", steps)
+    texts = repeating(random.Random(7))
+    want = passages({d: t.encode() for d, t in texts.items()}, 20)
+    cut = repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=20, k=6, group_rows=group_rows, batch_rows=batch_rows)
     by_id = {bytes(r.tid): r for r in cut.collect()}
     for d, t in texts.items():
-        r = by_id.get(hashlib.sha256(t).digest()[:16])
-        got = (r.n_removed, r.n_spans, r.kept_sha256) if r else (0, 0, hashlib.sha256(t).hexdigest())
+        r = by_id.get(hashlib.sha256(t.encode()).digest()[:16])
+        got = (r.n_removed, r.n_spans, r.kept_sha256) if r else (0, 0, hashlib.sha256(t.encode()).hexdigest())
         assert got == want[d], d
 
 
+@pytest.mark.parametrize("group_rows,steps", [(20_000, 16), (3, 4)])
+def test_repeated_words_equal_brute_force(spark, monkeypatch, group_rows, steps):
+    monkeypatch.setattr(repeats, "STEPS", steps)
+    rng = random.Random(11)
+    texts = {d: "".join(c + rng.choice([" ", " ", "\n ", "\t"]) for c in t) for d, t in repeating(rng).items()}  # each letter is a word
+    texts = {d: rng.choice(["", " "]) + t for d, t in texts.items()}
+    count = Counter(tuple(t.split()[s : s + 20]) for t in texts.values() for s in range(len(t.split()) - 19))
+    cut = repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=20, k=6, group_rows=group_rows, batch_rows=3, with_text=True, unit=repeats.BY_WORDS)
+    by_id = {bytes(r.tid): r for r in cut.collect()}
+    for d, t in texts.items():
+        w, gone = t.split(), set()
+        for s in range(len(w) - 19):
+            if count[tuple(w[s : s + 20])] > 1:
+                gone |= set(range(s, s + 20))
+        r = by_id.get(hashlib.sha256(t.encode()).digest()[:16])
+        assert (r.kept if r else t).split() == [x for i, x in enumerate(w) if i not in gone], d
+        assert (r.n_removed > 0 if r else True) and (r is not None) == bool(gone)
+
+
 def test_licenses():
     block = "Released under the MIT License."
     assert licenses.identify(block)[0] == "MIT"

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
-from corpusloom.llm import minhash, quality, repeats
+from corpusloom.llm import minhash, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -95,17 +96,33 @@ def test_passages_of_over_fifty_words_go(spark):
     rng = random.Random(6)
     short = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))  # 101 bytes
     passages = [" ".join(prose(rng, 51)), " ".join(prose(rng, 60)), short]
-    spare = " ".join(prose(rng, 50))  # one word too few
+    spare = " ".join(prose(rng, 48))  # too few words
     own = [[" ".join(prose(rng, 80)) for _ in range(2)] for _ in range(8)]
-    rows = [(i, f"{own[i][0]} {[*passages, spare][i // 2]} {own[i][1]}") for i in range(8)]
+    glue = ["", "("]  # the edges of a passage may stand beside other characters
+    rows = [(i, f"{own[i][0]} {glue[i % 2]}{[*passages, spare][i // 2]}{')' * (i % 2)} {own[i][1]}") for i in range(8)]
     out = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()}
     for i, text in rows:
         if i < 6:
-            left = out[i].text  # the blanks beside the passage, and a letter that happens to be shared, may go with it
-            assert passages[i // 2][2:-2] not in left and len("".join(own[i])) - 4 <= len(left) <= len(" ".join(own[i])) + 1 and out[i].n_chars == len(left)
+            words = passages[i // 2].split()
+            edges = [glue[i % 2] + words[0], words[-1] + ")" * (i % 2)]
+            assert out[i].text.split() == [*own[i][0].split(), *edges, *own[i][1].split()] and out[i].n_chars == len(out[i].text)
         else:
             assert out[i].text == text
-    assert repeats.whole_words(b"ab cd ef", 1, 7) == 1 and repeats.whole_words(b"ab cd ef", 0, 8) == 3 and repeats.whole_words(b"ab cd ef", 2, 6) == 1
+
+
+def test_passages_of_the_corpus(spark):
+    """Whole table: no window of 49 words that stood twice is left, and texts without one are untouched."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    count = Counter(tuple(t.split()[s : s + 49]) for t in texts.values() for s in range(len(t.split()) - 48))
+    for d, t in texts.items():
+        w, gone = t.split(), set()
+        for s in range(len(w) - 48):
+            if count[tuple(w[s : s + 49])] > 1:
+                gone |= set(range(s, s + 49))
+        assert out[d].split() == [x for i, x in enumerate(w) if i not in gone]
+        assert gone or out[d] == t
 
 
 def test_repeated_and_null_id_rows_stay_once(spark, tmp_path):
