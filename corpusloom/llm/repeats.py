@@ -412,7 +412,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, k: int = KMER, group_
     discard(kinds)
     spans = places.join(covered, "fid").select("no", (F.col("pos") + F.col("lo") - reach).alias("lo"), (F.col("pos") + F.col("hi") - reach).alias("hi"))
     by_text = spans.groupBy("no").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    long_enough = F.lit(True) if unit == BY_BYTES else F.size(F.split(F.trim(F.lit("\t\n\x0b\f\r "), F.col("raw").cast("string")), "[\t\n\x0b\f\r ]+")) >= width
+    long_enough = F.lit(True) if unit == BY_BYTES else F.size(F.split(F.trim(F.col("raw").cast("string"), F.lit("\t\n\x0b\f\r ")), "[\t\n\x0b\f\r ]+")) >= width
     whole = F.col("copied") & long_enough
     some = maybe.where(~whole).select("no", "tid", "raw").join(by_text, "no")
     kept = [F.lit("").alias("kept")] if with_text else []
