@@ -59,8 +59,8 @@ def test_near_duplicates_equal_brute_force(spark):
     passage = prose(rng, 60)
     texts |= {1000 + k: " ".join(passage + prose(rng, 40)) for k in range(30)}  # a shared passage, no near copies
     want = brute_force(texts)
-    for chunk in (minhash.CHUNK, 4):
-        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts.items()), chunk).collect()} == want
+    for chunk, pivots in ((minhash.CHUNK, minhash.PIVOTS), (4, 0), (2, 1)):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts.items()), chunk, pivots).collect()} == want
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts.items()), "").collect()}
     assert kept == {i for i, r in want.items() if i == r} and len(kept) < len(texts)
 
