@@ -2,10 +2,13 @@
 
 A text is encoded without merging it step by step: an Aho-Corasick automaton gives the longest piece that starts at each
 place, a piece may follow another only if re-merging the two joined gives just these two, and places from which no
-encoding goes on are bits of an integer. White space starts a unit: no piece of the vocabulary has white space after
-another character (checked when the model is loaded), so units are encoded alone and kept in a bounded memo.
+encoding goes on are bits of a field. White space starts a unit: no piece of the vocabulary has white space after
+another character (checked when the model is loaded), so units are encoded alone and kept in a memo of bounded size. Runs of blanks are
+pieces of one score, the least of all: they merge last, from the left, so a block of the longest such piece can't change any
+more and the rest of the run is like a new one (checked too); a run takes time in proportion to its length.
 
-Defined results: a null or empty text has only the end id and decodes to the empty text.
+Defined results: a null or empty text has only the end id and decodes to the empty text; of any other text, however long, every character is
+encoded; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from .common import each_batch, text_list
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO = 500_000
+#: Characters of the units that are kept, and the longest such unit.
+MEMO_CHARS, MEMO_UNIT = 4_000_000, 64
+FITS = 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -63,6 +68,14 @@ class PieceCodec:
         self.shorter: dict[str, str | None] = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), None) for p in self.whole}
         self.fits: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[str, str]] = {}
+        self.memo_chars = 0
+        blank = {p: s for p, s in self.score.items() if not p.strip(SPACE) and len(p) > 1}
+        self.most = max(map(len, blank), default=1)
+        self.blanks = [self.merged(SPACE * n) for n in range(2 * self.most)]
+        if blank and (len(set(blank.values())) > 1 or any(s <= max(blank.values()) for p, s in self.score.items() if len(p) > 1 and p not in blank)):
+            raise ValueError("runs of blanks must have one score, less than all others")
+        if any(self.blanks[self.most + n] != [SPACE * self.most, *self.blanks[n]] for n in range(self.most)) or any(p.startswith(SPACE * 2) and p not in blank for p in self.score):
+            raise ValueError("runs of blanks must merge in blocks of the longest one, and with nothing else")
 
     def merged(self, text: str) -> list[str]:
         """The pieces after all merges, best score first and leftmost among equals; the definition itself."""
@@ -82,21 +95,28 @@ class PieceCodec:
         found = self.fits.get((a, b))
         if found is None:
             found = self.merged(a + b) == [a, b]
-            if len(self.fits) < MEMO:
+            if len(self.fits) < FITS:
                 self.fits[a, b] = found
         return found
 
     def unit_pieces(self, unit: str) -> list[str]:
         """The pieces of one unit; a character without a piece stands alone."""
         if unit.startswith(SPACE * 2):
-            return self.merged(unit)  # runs of white space are pieces of one equal score: only their order of merging tells
+            word = unit.lstrip(SPACE)
+            rest = self.unit_pieces(SPACE + word) if word else []
+            n = len(unit) - len(word)
+            if rest and rest[0] != SPACE:
+                n -= 1  # the last blank has merged with the word
+            else:
+                rest = rest[1:]
+            return [SPACE * self.most] * (n // self.most) + self.blanks[n % self.most] + rest
         n, longest = len(unit), {}
         for end, p in self.longest.iter(unit):
             start = end - len(p) + 1
             if len(longest.get(start, "")) < len(p):
                 longest[start] = p
         out: list[str] = []
-        at, failed, given = 0, 0, None  # given: the piece to try next, when one was taken back
+        at, failed, given = 0, bytearray(n // 8 + 1), None  # given: the piece to try next, when one was taken back
         floor = 0  # nothing merges over a character without a piece
         while at < n:
             piece = given or longest.get(at)
@@ -106,13 +126,13 @@ class PieceCodec:
                 at += 1
                 floor = len(out)
                 continue
-            while piece is not None and (failed >> (at + len(piece)) & 1 or (len(out) > floor and not self.follows(out[-1], piece))):
+            while piece is not None and (failed[(at + len(piece)) >> 3] >> (at + len(piece) & 7) & 1 or (len(out) > floor and not self.follows(out[-1], piece))):
                 piece = self.shorter[piece]
             if piece is not None:
                 out.append(piece)
                 at += len(piece)
                 continue
-            failed |= 1 << at
+            failed[at >> 3] |= 1 << (at & 7)
             if len(out) == floor:
                 raise ValueError(f"no encoding of {unit!r}")
             at -= len(given := out.pop())
@@ -171,8 +191,9 @@ class PieceCodec:
             if hit is None:
                 found = self.unit_ids(u if u.startswith(SPACE) else SPACE + u)
                 hit = (" ".join(map(str, found)), self.decode_raw(found))
-                if len(memo) < MEMO:
+                if len(u) <= MEMO_UNIT and self.memo_chars < MEMO_CHARS:
                     memo[u] = hit
+                    self.memo_chars += len(u)
             ids.append(hit[0])
             back.append(hit[1])
         ids.append(str(self.end))
