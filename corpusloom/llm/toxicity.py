@@ -1,14 +1,16 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
 Training (a bounded sample of labelled rows, ``TRAIN_ROWS`` at most, chosen by a hash of the id): the toxic and the clean texts that hold a
-token are counted, and its log-odds get an informative Dirichlet prior from the counts of both together. Tokens whose log-odds stand
-``Z`` deviations or more from zero form the lexicon; all others share one score, the log-odds of their pooled counts,
+token are counted, and its log-odds get an informative Dirichlet prior from the counts of both together; so are the beginnings
+(``PREFIX`` letters) of longer tokens. Those whose log-odds stand ``Z`` deviations or more from zero form the lexicon, where a beginning
+stands for tokens that aren't in it themselves; all others share one score, the log-odds of their pooled counts,
 which is below zero. The extreme-value parameters follow from the clean texts: lambda solves
 sum p(s) exp(lambda s) = 1 over their token scores, and K is fitted to their best segments.
 
 Scoring: one linear scan finds all maximal scoring segments of a text; those whose expected number by chance is under
 ``EXPECT`` are passages, and their normalised scores (lambda S - ln K n) are summed. A logistic curve, fitted to the
-training rows' sums in bins, turns the sum into a probability.
+training rows' sums in ``BINS`` bins up to ``BIN_TOP`` (larger sums count in the last one), turns the sum into a probability. Sums aren't cut
+when texts are scored.
 
 Defined results: a null or empty text has no segment and gets the base rate; rows with a null label don't train, and several
 labels of one id count as toxic if one is; without both classes every score is 0; repeated rows score alike; an empty table gives an
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,9 @@ from .common import each_batch, materialize, text_list
 TRAIN_ROWS = 20_000
 #: At most so many tokens form the lexicon, those farthest from zero.
 LEXICON = 20_000
-MIN_DOCS, Z, EXPECT, THRESHOLD = 4, 4.0, 0.5, 0.3
+MIN_DOCS, Z, EXPECT, THRESHOLD = 4, 3.0, 0.5, 0.3
+#: Longer tokens count by their beginning too; a token outside of the lexicon has the score of its beginning.
+PREFIX = 6
 BINS, BIN_TOP = 400, 100.0
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -42,6 +47,10 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def beginning(token: str) -> str | None:
+    return token[:PREFIX] + "*" if len(token) > PREFIX else None
+
+
 def maximal_segments(at: list[int], gain: list[float], length: int, drift: float) -> list[tuple[int, int, float]]:
     """(first, last, score) of all maximal scoring segments of a sequence of ``length`` scores.
 
@@ -82,21 +91,24 @@ class ToxicityModel:
     slope: float
     trained: bool = True
 
+    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """(first token, last token, score) of all maximal scoring segments."""
+        get = self.score.get
+        found = [(i, s) for i, w in enumerate(words) if (s := get(w) or (get(beginning(w)) if len(w) > PREFIX else None))]
+        return maximal_segments(*zip(*found, strict=True), len(words), self.drift) if found else []
+
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """(first token, last token, normalised score) of the significant segments."""
         words = tokens(text)
-        found = [(i, s) for i, s in enumerate(map(self.score.get, words)) if s is not None]
-        if not found:
-            return []
-        at, gain = zip(*found, strict=True)
         floor = math.log(max(self.k * len(words), 1e-9))
-        return [(a, b, self.lam * s - floor) for a, b, s in maximal_segments(at, gain, len(words), self.drift) if floor - self.lam * s < math.log(EXPECT)]
+        return [(a, b, self.lam * s - floor) for a, b, s in self.segments(words) if floor - self.lam * s < math.log(EXPECT)]
 
     def evidence(self, text: str) -> float:
-        return min(BIN_TOP, sum(s for _, _, s in self.passages(text)))
+        return sum(s for _, _, s in self.passages(text))
 
     def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.offset + self.slope * evidence)))) if self.trained else 0.0
+        z = self.offset + self.slope * evidence
+        return 0.0 if not self.trained else 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
 def extreme_value_lambda(scores: np.ndarray, weight: np.ndarray) -> float:
@@ -151,11 +163,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
     rows = materialize(training_rows(docs, labels, most), "toxicity-train")
-    words = rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)")).alias("token"))
-    is_toxic = F.col("toxic") == 1
-    counted = words.distinct().groupBy("token").agg(F.count_if(is_toxic).alias("t"), F.count_if(~is_toxic).alias("c"))
+
+    def holders(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Texts of the batch that hold a token, by class."""
+        seen = (Counter(), Counter())
+        for text, toxic in zip(text_list(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+            own = set(tokens(text))
+            seen[toxic != 1].update(own | ({beginning(w) for w in own} - {None}))
+        names = list(seen[0] | seen[1])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in seen)], names=["token", "t", "c"])
+
+    counted = rows.mapInArrow(each_batch(holders), "token string, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counted = materialize(counted, "toxicity-tokens")
-    n_t, n_c = counted.agg(F.sum("t"), F.sum("c")).first()
+    n_t, n_c = counted.where("not endswith(token, '*')").agg(F.sum("t"), F.sum("c")).first()
     if not n_t or not n_c:
         return ToxicityModel({}, -1.0, 1.0, 1.0, 0.0, 0.0, trained=False)
     # The prior has the common distribution and weighs as much as the smaller class.
@@ -166,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
     scored = counted.where(F.col("t") + F.col("c") >= MIN_DOCS).withColumn("s", log_t - log_c).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
     kept = scored.where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "token").limit(LEXICON).collect()
     score = {r["token"]: float(r["s"]) for r in kept if r["s"] > 0}
-    in_t, in_c = sum(r["t"] for r in kept if r["s"] > 0), sum(r["c"] for r in kept if r["s"] > 0)
+    whole = [r for r in kept if r["s"] > 0 and not r["token"].endswith("*")]
+    in_t, in_c = sum(r["t"] for r in whole), sum(r["c"] for r in whole)
     drift = min(-1e-3, math.log(max(n_t - in_t, 1) / (n_t + 1)) - math.log(max(n_c - in_c, 1) / (n_c + 1)))
     # Chance segments, from the clean texts: tokens of the lexicon and all others.
     values = np.array([score[r["token"]] for r in kept if r["s"] > 0] + [drift])
@@ -181,9 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
         out = []
         for text in text_list(batch.column("text")):
             words = tokens(text)
-            found = [(i, s) for i, s in enumerate(map(model.score.get, words)) if s is not None]
-            top = max((s for _, _, s in maximal_segments(*zip(*found, strict=True), len(words), model.drift)), default=0.0) if found else 0.0
-            out.append((math.log(max(len(words), 1)), top))
+            out.append((math.log(max(len(words), 1)), max((s for _, _, s in model.segments(words)), default=0.0)))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*out, strict=True)], names=["ln_n", "top"])
 
     # E[lambda M] = ln(K n) + Euler's constant over the clean texts that have a segment at all.
@@ -191,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
     model.k = math.exp(min(0.0, (mean if mean is not None else 0.0) - 0.5772156649))
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [min(BINS - 1, int(model.evidence(t) * BINS / BIN_TOP)) if t else 0 for t in text_list(batch.column("text"))]
+        x = [int(min(BINS - 1, model.evidence(t) * BINS / BIN_TOP)) for t in text_list(batch.column("text"))]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), batch.column("toxic")], names=["bin", "toxic"])
 
     counts = np.zeros((2, BINS))
@@ -199,20 +218,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
         counts[int(r["toxic"] == 1), r["bin"]] += r["count"]
     x = (np.arange(BINS) + 0.5) * BIN_TOP / BINS
     x[0] = 0.0
-    model.offset, model.slope = fit_logistic(np.minimum(x, 25.0), counts[1], counts[0])
+    model.offset, model.slope = fit_logistic(x, counts[1], counts[0])
     return model
 
 
 def score_table(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted, n_passages, evidence of every row."""
-    cap = 25.0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, passages, sums = [], [], []
         for text in text_list(batch.column("text")):
             found = model.passages(text)
-            e = min(BIN_TOP, sum(s for _, _, s in found))
-            scores.append(model.probability(min(e, cap)))
+            e = sum(s for _, _, s in found)
+            scores.append(model.probability(e))
             passages.append(len(found))
             sums.append(e)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, pa.int32()), pa.array(sums, pa.float64())], names=["doc_id", "score", "predicted", "n_passages", "evidence"])

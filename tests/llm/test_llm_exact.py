@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -41,6 +42,20 @@ def test_pieces_equal_the_library(texts):
         assert own.digest_parts(text) == (" ".join(map(str, ids)), lib.decode(ids))
 
 
+def test_blanks_are_linear_and_equal_the_library():
+    own, lib = pieces.PieceCodec(SPM), sentencepiece.SentencePieceProcessor(model_file=SPM)
+    for n in [*range(1, 70), 1000, 4001]:
+        for text in ("a" + " " * n + "b", " " * n, " " * n + "Ünder", "x" + " " * n + "日本", "▁" * n + " the"):
+            ids = [*lib.encode(text), lib.eos_id()]
+            assert own.encode(text) == ids and own.decode(ids) == lib.decode(ids), (n, text)
+    for text in ("a" + " " * 100_000 + "the end", "a" * 100_000, "é" * 50_000 + " " * 50_000):
+        began = time.perf_counter()
+        got = own.digest_parts(text)
+        assert time.perf_counter() - began < 2
+        assert got == (" ".join(map(str, [*lib.encode(text), lib.eos_id()])), text)
+    assert sum(map(len, own.memo)) <= pieces.MEMO_CHARS
+
+
 def test_backtracking_equals_merging():
     own, rng = pieces.PieceCodec(SPM), random.Random(1)
     for _ in range(500):
@@ -311,7 +326,7 @@ def test_toxicity_held_out(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.op8(d, lab).where("held_out").join(lab, "doc_id").select("score", "predicted", "toxic").toPandas()
     pos, neg = out[out.toxic == 1], out[out.toxic == 0]
-    assert pos.predicted.mean() > 0.75 and neg.predicted.mean() < 0.03
+    assert pos.predicted.mean() >= 0.9 and neg.predicted.mean() < 0.01
     assert (pos.score.values[:, None] > neg.score.values).mean() + 0.5 * (pos.score.values[:, None] == neg.score.values).mean() > 0.9
 
 
