@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import each_batch, text_list
 
-CUE = r"licen[sc]|copyright|permission (is hereby|to use)|redistribut|public domain|creative commons|cc[ -]by|cc0|spdx|as is"
+CUE = r"licen[sc]|copyright|permission (is hereby|to use)|redistribut|public domain|creative commons|cc[ -]by|cc0|spdx"
 SLACK = 0.1
 #: Pieces longer than so many words are cut; so many pieces a template may miss between two that it explains; the share of them that it must explain.
 PIECE_WORDS, SKIP, SHARE = 40, 2, 0.35
