@@ -230,31 +230,35 @@ def _holds(path: str):
     return lambda part: has_key(part, path)
 
 
-def message_columns(v: Column) -> dict[str, Column]:
-    """outcome, text and flags of one chat message."""
-    typed, content, display = string(v, "$.type"), _parts(v, "$.content"), _parts(v, "$.displayContent")
+def with_message(rows: DataFrame) -> DataFrame:
+    """``rows`` with outcome, text and flags of the chat message ``v``; each step is a column of its own, so that it is computed once."""
+    v, c = F.col("v"), F.col
     tool = F.lit(False)
     for path in [f"$.{k}" for k in formats.TOOL_KEYS]:
-        tool = tool | F.exists(content, _holds(path))
-    shown = display.isNotNull()
-    source = F.coalesce(display, content)
-    items = F.filter(F.transform(source, _item), lambda x: x.isNotNull())
-    hit = F.array_position(F.transform(items, lambda x: _marker(x) > 0), F.lit(True)).cast("int")
-    trimmed = ~shown & (hit > 0)
-    last = F.get(items, hit - 1)
-    head = F.array_join(F.slice(F.split(last, "\n", -1), 1, F.greatest(_marker(last) - 1, F.lit(0))), "\n")
-    cut = F.concat(F.slice(items, 1, F.greatest(hit - 1, F.lit(0))), F.when(_marker(last) > 1, F.array(head)).otherwise(F.array().cast("array<string>")))
-    used = F.when(trimmed, cut).otherwise(items)
-    body = strip(F.array_join(F.filter(F.transform(used, strip), lambda x: x != ""), "\n"))
+        tool = tool | F.exists("_content", _holds(path))
+    rows = rows.withColumns({"_type": string(v, "$.type"), "_id": string(v, "$.id"), "_content": _parts(v, "$.content"), "_display": _parts(v, "$.displayContent"), "_displayed": has_key(v, "$.displayContent")})
+    rows = rows.withColumns({"_tool": tool, "_shown": c("_display").isNotNull(), "_source": F.coalesce("_display", "_content")})
+    rows = rows.withColumns({"_items": F.filter(F.transform("_source", _item), lambda x: x.isNotNull()), "_odd": F.exists("_source", _unknown_part)})
+    rows = rows.withColumn("_markers", F.transform("_items", _marker))
+    rows = rows.withColumn("_hit", F.array_position(F.transform("_markers", lambda x: x > 0), F.lit(True)).cast("int"))
+    rows = rows.withColumns({"_trimmed": ~c("_shown") & (c("_hit") > 0), "_at": F.get("_markers", c("_hit") - 1)})
+    head = F.array_join(F.slice(F.split(F.get("_items", c("_hit") - 1), "\n", -1), F.lit(1), F.greatest(c("_at") - 1, F.lit(0))), "\n")
+    cut = F.concat(F.slice("_items", F.lit(1), F.greatest(c("_hit") - 1, F.lit(0))), F.when(c("_at") > 1, F.array(head)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_used", F.transform(F.when(c("_trimmed"), cut).otherwise(c("_items")), strip))
+    rows = rows.withColumn("_body", F.coalesce(strip(F.array_join(F.filter("_used", lambda x: x != ""), "\n")), F.lit("")))
+    rows = rows.withColumn("_tag", F.regexp_extract("_body", _LEADING_TAG, 1))
+    body = c("_body")
+    injected_start = body.startswith("/") | body.startswith("!") | body.startswith("<session_context>") | body.startswith(formats.ENVIRONMENT_SENTENCE) | c("_tag").isin(*formats.CHAT_WRAPPER_TAGS)
     outcome = (
-        F.when(~F.coalesce(typed.isin(*formats.MESSAGE_TYPES), F.lit(False)), "unknown_type").when(typed != "user", "excluded").when(string(v, "$.id").isNull() | content.isNull(), "unrecognized_user")
-        .when(tool, "excluded").when(F.coalesce(body, F.lit("")) == "", "excluded").when(starts_injected(body), "excluded").otherwise("kept")
+        F.when(~F.coalesce(c("_type").isin(*formats.MESSAGE_TYPES), F.lit(False)), "unknown_type").when(c("_type") != "user", "excluded").when(c("_id").isNull() | c("_content").isNull(), "unrecognized_user")
+        .when(c("_tool") | (body == "") | injected_start, "excluded").otherwise("kept")
     )
     flags = sorted_flags(
-        F.when(F.exists(source, _unknown_part) | (has_key(v, "$.displayContent") & ~shown), F.lit("unknown_part")), F.when(shown, F.lit("expanded_content_present")), F.when(trimmed, F.lit("reference_expansion_trimmed")),
-        F.when(~shown & ~trimmed & (F.size(items) > 1), F.lit("multipart_no_display")), F.when(F.regexp_extract(body, _LEADING_TAG, 1) != "", F.lit("unknown_wrapper")),
+        F.when(c("_odd") | (c("_displayed") & ~c("_shown")), F.lit("unknown_part")), F.when(c("_shown"), F.lit("expanded_content_present")), F.when(c("_trimmed"), F.lit("reference_expansion_trimmed")),
+        F.when(~c("_shown") & ~c("_trimmed") & (F.size("_items") > 1), F.lit("multipart_no_display")), F.when(c("_tag") != "", F.lit("unknown_wrapper")),
     )
-    return {"outcome": outcome, "text": F.when(outcome == "kept", body), "flags": F.when(outcome == "kept", flags)}
+    rows = rows.withColumn("outcome", outcome).withColumns({"text": F.when(c("outcome") == "kept", body), "flags": F.when(c("outcome") == "kept", flags), "message_id": c("_id")})
+    return rows.drop(*[x for x in rows.columns if x.startswith("_")])
 
 
 def chat_lines(lines: DataFrame) -> DataFrame:
@@ -295,9 +299,10 @@ def chat_files(rows: DataFrame) -> DataFrame:
 
 def chat_utterances(rows: DataFrame) -> DataFrame:
     """Kept messages: of a repeated id the last one, of several files of a session one (logs of lines first, then by name)."""
-    columns = message_columns(F.col("v"))
     gate = chat_files(rows).where("supported and session_id is not null").select("path", "session_id", "subagent")
     chosen = first_of(gate, ["session_id"], [~F.endswith("path", F.lit(".jsonl")), F.col("path")]).where("not subagent")
-    messages = rows.where("line_kind = 'message'").join(chosen, "path").select("path", "session_id", "line_no", string(F.col("v"), "$.id").alias("message_id"), text.iso_timestamp(string(F.col("v"), "$.timestamp")).alias("ts"), *[c.alias(n) for n, c in columns.items()])
-    latest = messages.where("outcome in ('kept', 'excluded')").groupBy("path", "message_id").agg(F.max_by(F.struct("session_id", "ts", "outcome", "text", "flags"), "line_no").alias("m"), F.min("line_no").alias("position"))
+    messages = with_message(rows.where("line_kind = 'message'").join(chosen, "path").select("path", "session_id", "line_no", "v")).withColumn("ts", text.iso_timestamp(string(F.col("v"), "$.timestamp")))
+    # No filter above the columns: it would be pushed below them with all their expressions written out.
+    known = F.when(F.col("outcome").isin("kept", "excluded"), F.col("line_no"))
+    latest = messages.groupBy("path", "message_id").agg(F.max_by(F.struct("session_id", "ts", "outcome", "text", "flags"), known).alias("m"), F.min(known).alias("position"))
     return latest.select("path", "position", "message_id", "m.*").where("outcome = 'kept'").drop("outcome")
