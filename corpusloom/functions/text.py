@@ -90,6 +90,7 @@ def count_words(text: Column) -> Column:
 def classify_english(text: Column) -> Column:
     """struct(reason, english_text): the English share of a text, or null where it is quarantined."""
     latin = fixed.latin_class()
+    odd = text.rlike(r"[\p{L}&&[^" + latin[1:] + "]")  # a letter that isn't Latin; texts without one need no counting
     letters, latins = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(latin))
     foreign = letters - latins
     tokens = split_words(text)
@@ -98,9 +99,9 @@ def classify_english(text: Column) -> Column:
     rest = F.array_join(F.filter(tokens, lambda t: ~has_foreign(t)), " ")
     no_letters, no_ascii, plain, share, mixed, short, stripped = (F.lit(x) for x in fixed.REASONS)
     reason = (
-        F.when(letters == 0, no_letters)
-        .when((foreign == 0) & ~text.rlike("[A-Za-z]"), no_ascii)
-        .when(foreign == 0, plain)
+        F.when(~odd & text.rlike("[A-Za-z]"), plain)
+        .when(~odd & text.rlike(r"\p{L}"), no_ascii)
+        .when(~odd, no_letters)
         .when(foreign * 100 > letters * fixed.NON_LATIN_LETTER_PERCENT_LIMIT, share)
         .when(mixes, mixed)
         .when(count_words(rest) < fixed.MIN_REMAINDER_WORDS, short)
@@ -128,8 +129,9 @@ def privacy_codes(text: Column) -> Column:
     """The codes of everything a text must not share, in the order of the checks."""
     plain = canonical(text)
     folded = fold_lookalikes(plain)
+    other = F.when(folded != plain, folded)  # most texts hold no look-alike: their patterns run once
     found = [F.when(plain != text, F.lit(fixed.INVISIBLE))]
-    found += [F.when(has_pattern(plain, code) | has_pattern(folded, code), F.lit(code)) for code, _ in fixed.PRIVACY_CHECKS]
+    found += [F.when(has_pattern(plain, code) | F.coalesce(has_pattern(other, code), F.lit(False)), F.lit(code)) for code, _ in fixed.PRIVACY_CHECKS]
     return F.array_compact(F.array(*found))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own on a single machine, an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,22 +81,24 @@ def opaque_labels(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
 def pack_batches(items: DataFrame, by: str, seq: str, words: str, target: int, most: int = fixed.MAX_BATCH_SESSIONS) -> DataFrame:
     """Batches of consecutive items: a batch closes before an item that would take it over ``target`` words, and at ``most`` items.
 
-    An order-bound fold over the sizes of the sessions of one run.
+    An order-bound fold: the items of a run stream through a task in order and only the open batch is held. ``by`` and ``seq`` are whole numbers.
     """
-    state = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<seq:bigint,batch:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        close = (s["n"] > 0) & ((s["words"] + x["w"] > target) | (s["n"] >= most))
-        batch = F.when(close, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(close, F.lit(1)).otherwise(s["n"] + 1).cast("long").alias("n"),
-            F.when(close, x["w"]).otherwise(s["words"] + x["w"]).cast("long").alias("words"),
-            F.concat(s["out"], F.array(F.struct(x["s"].alias("seq"), batch.alias("batch")))).alias("out"),
-        )
-
-    sorted_items = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("long").alias("s"), F.col(words).cast("long").alias("w"))))
-    return items.groupBy(by).agg(F.aggregate(sorted_items, state, step)["out"].alias("out")).select(by, F.inline("out")).withColumnRenamed("seq", seq)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, batch, n, load = None, 0, 0, 0
+        for part in batches:
+            numbers = []
+            for b, w in zip(part.column(by).to_pylist(), part.column(words).to_pylist(), strict=True):
+                if b != run:
+                    run, batch, n, load = b, 0, 0, 0
+                if n and (load + w > target or n >= most):
+                    batch, n, load = batch + 1, 0, 0
+                n, load = n + 1, load + w
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(by), part.column(seq), pa.array(numbers, pa.int64())], names=[by, seq, "batch"])
+
+    rows = items.select(F.col(by).cast("long"), F.col(seq).cast("long"), F.coalesce(F.col(words), F.lit(0)).cast("long").alias(words))
+    return rows.repartition(by).sortWithinPartitions(by, seq).mapInArrow(fold, f"{by} long, {seq} long, batch long")
 
 
 def plan_batches(sizes: list[tuple[str, int]], step: str = "c", cap: int = fixed.DEFAULT_AGENT_CAP) -> dict:

@@ -233,10 +233,6 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.progress(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), (F.col("o_orderstatus") == "F").alias("done")))
 
 
-_FIELDS = ("analyzed_utterances", "analyzed_words", "eligible_utterances", "eligible_words")
-PACKAGE_SQL = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _FIELDS) + " || ',\"modality\":\"' || modality || '\"}'"
-
-
 @query()
 def package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package over the audit counts as its records, with the hash of its payload; a test recomputes it in Python."""

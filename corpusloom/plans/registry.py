@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import counts, dedup, judgments, sessions
-from .tables import CONVERSATIONS, DOCUMENTS, START, conversation_utterances, document_utterances, table
+from .tables import CONVERSATIONS, DOCUMENTS, START, conversation_utterances, document_utterances, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -86,28 +86,27 @@ def word_count_by_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(sum({sql_count_words('text')}) AS BIGINT) AS words FROM documents GROUP BY lang")
 def word_count_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(text.count_words(F.col("text"))).alias("words"))
+    return spread(table(spark, sf_dir, "documents").select("lang", "text")).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(text.count_words(F.col("text"))).alias("words"))
 
 
-_MIXED_SQL = "CASE doc_id % 5 WHEN 1 THEN text || ' слово' WHEN 2 THEN substr(text, 1, 10) || ' привет мир' WHEN 3 THEN 'да' || substr(text, 1, 30) WHEN 4 THEN substr(text, 1, 5) || ' да' ELSE text END"
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшщыз"
+_MIXED_SQL = f"CASE doc_id % 4 WHEN 1 THEN text || ' слово' WHEN 2 THEN text || ' ' || translate(lower(text), '{_LATIN}', '{_CYRILLIC}') WHEN 3 THEN 'да' || text ELSE text END"
 
 
 def _mixed() -> object:
-    """Derived texts of mixed scripts, so that each reason occurs."""
-    t, k = F.col("text"), F.col("doc_id") % 5
-    return (
-        F.when(k == 1, F.concat(t, F.lit(" слово"))).when(k == 2, F.concat(F.substring(t, 1, 10), F.lit(" привет мир"))).when(k == 3, F.concat(F.lit("да"), F.substring(t, 1, 30))).when(k == 4, F.concat(F.substring(t, 1, 5), F.lit(" да"))).otherwise(t)
-    )
+    """Derived texts of mixed scripts: a word of another script, as many letters of one, one within a word."""
+    t, k = F.col("text"), F.col("doc_id") % 4
+    return F.when(k == 1, F.concat(t, F.lit(" слово"))).when(k == 2, F.concat(t, F.lit(" "), F.translate(F.lower(t), _LATIN, _CYRILLIC))).when(k == 3, F.concat(F.lit("да"), t)).otherwise(t)
 
 
 @query(f"SELECT doc_id, {sql_reason('x')} AS reason FROM (SELECT doc_id, {_MIXED_SQL} AS x FROM documents)")
 def language_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", _mixed().alias("x")).select("doc_id", text.classify_english(F.col("x"))["reason"].alias("reason"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", _mixed().alias("x")).select("doc_id", text.classify_english(F.col("x"))["reason"].alias("reason"))
 
 
 @query(f"SELECT modality, CAST(sum(CASE WHEN {sql_reason('text')} = 'latin_script' THEN {sql_count_words('text')} ELSE 0 END) AS BIGINT) AS english FROM {CONVERSATIONS} GROUP BY modality")
 def english_words_by_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_utterances(spark, sf_dir).groupBy("modality").agg(F.sum(text.english_words(F.col("text"))).alias("english"))
+    return spread(conversation_utterances(spark, sf_dir).select("modality", "text")).groupBy("modality").agg(F.sum(text.english_words(F.col("text"))).alias("english"))
 
 
 @query(r"SELECT doc_id, CAST(length(x) - length(replace(x, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '- ' || text WHEN doc_id % 3 = 1 THEN '## ' || text ELSE text END AS x FROM documents) WHERE length(x) - length(replace(x, chr(10), '')) + 1 BETWEEN 3 AND 149 AND regexp_matches(x, '(?m)^(#{1,6} |\s*[-*]\s|\s*\d+\.\s)')")
@@ -135,7 +134,7 @@ _RE2 = {
 
 def _privacy(code: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents")
+        d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         return d.where(text.has_pattern(F.col("text"), code)).select("doc_id", F.lit(code).alias("code"))
 
     run.__name__ = code.lower()
@@ -149,12 +148,12 @@ for _code, _ in fixed.PRIVACY_CHECKS:
 @query()
 def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All codes of each document, with the invisible-character check; look-around is beyond the oracle's regex engine."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.privacy_codes(F.col("text"))).alias("code"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.privacy_codes(F.col("text"))).alias("code"))
 
 
-@query(f"SELECT doc_id, sha256(translate(substr(text, 1, 200) || 'Привет Αθηνα', {_lit(''.join(a for a, _ in fixed.LOOKALIKES))}, {_lit(''.join(b for _, b in fixed.LOOKALIKES))})) AS folded FROM documents")
+@query(f"SELECT doc_id, sha256(translate(text || 'Привет Αθηνα', {_lit(''.join(a for a, _ in fixed.LOOKALIKES))}, {_lit(''.join(b for _, b in fixed.LOOKALIKES))})) AS folded FROM documents")
 def lookalike_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 200), F.lit("Привет Αθηνα"))
+    t = F.concat("text", F.lit("Привет Αθηνα"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold_lookalikes(t), 256).alias("folded"))
 
 
@@ -208,14 +207,14 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.last_write_wins(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", F.col("event_id").alias("last_event"), "first_position")
 
 
-_GRAPH = "SELECT doc_id AS a, doc_id // 3 AS b FROM documents WHERE doc_id % 7 <> 0"
+_GRAPH = "SELECT doc_id AS a, CASE WHEN doc_id % 7 = 0 THEN doc_id ELSE doc_id // 3 END AS b FROM documents"
 
 
 @query(f"""WITH RECURSIVE e AS ({_GRAPH}), sides AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, other) AS (SELECT a, b FROM sides UNION SELECT r.node, x.b FROM reach r JOIN sides x ON x.a = r.other)
 SELECT node, min(least(node, other)) AS root FROM reach GROUP BY node HAVING min(least(node, other)) < node""")
 def transitive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").selectExpr("doc_id AS a", "doc_id div 3 AS b")
+    e = table(spark, sf_dir, "documents").selectExpr("doc_id AS a", "CASE WHEN doc_id % 7 = 0 THEN doc_id ELSE doc_id div 3 END AS b")
     return dedup.components(e)
 
 
@@ -233,22 +232,22 @@ def survivors_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
 
 
-@query("SELECT source, list_sort(list(doc_id)) AS removed FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
+@query("SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def removed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return gone.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("removed"))
+    return table(spark, sf_dir, "documents").select("source", "doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("source", "doc_id")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def file_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judgments.file_set_difference(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
+    other = table(spark, sf_dir, "labels").selectExpr("CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id")
+    return judgments.file_set_difference(table(spark, sf_dir, "documents"), other, "doc_id")
 
 
-@query(f"SELECT a.event_id AS first_event, b.event_id AS second_event FROM events a JOIN events b ON a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.user_id = b.user_id AND a.event_id <> b.event_id AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= {fixed.PROXIMITY_SECONDS * 1_000_000}")
+@query(f"SELECT a.event_id AS first_event, b.event_id AS second_event FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.event_id <> b.event_id AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= {fixed.PROXIMITY_SECONDS * 1_000_000}")
 def range_join_ten_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     after = (F.col("r.at") > F.col("l.at")) | (F.col("r.event_id") > F.col("l.event_id"))
-    return dedup.bucketed_range_join(e, e, "at", fixed.PROXIMITY_SECONDS * 1_000_000, after & (F.col("l.event_id") != F.col("r.event_id")), ["user_id"]).select(F.col("l.event_id").alias("first_event"), F.col("r.event_id").alias("second_event"))
+    return dedup.bucketed_range_join(e, e, "at", fixed.PROXIMITY_SECONDS * 1_000_000, after & (F.col("l.event_id") != F.col("r.event_id")), ["user_id", "event_type"]).select(F.col("l.event_id").alias("first_event"), F.col("r.event_id").alias("second_event"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
@@ -312,14 +311,15 @@ def span_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("utterance_id", F.coalesce(sessions.span_code(kept, F.col("text")), F.lit("ok")).alias("code"))
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT conv_id, CAST(sum({sql_count_words('text')}) AS BIGINT) AS words, row_number() OVER (ORDER BY conv_id) AS n FROM conversations GROUP BY conv_id),
-f(n, conv_id, words, batch, k) AS (SELECT n, conv_id, words, CAST(0 AS BIGINT), 1 FROM w WHERE n = 1
-UNION ALL SELECT w.n, w.conv_id, CASE WHEN f.words + w.words > 2000 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN w.words ELSE f.words + w.words END,
-f.batch + CASE WHEN f.words + w.words > 2000 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN 1 ELSE 0 END, CASE WHEN f.words + w.words > 2000 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN 1 ELSE f.k + 1 END FROM f JOIN w ON w.n = f.n + 1)
-SELECT conv_id, batch FROM f""")
+@query(f"""WITH RECURSIVE w AS (SELECT conv_id, conv_id // 24 AS run, CAST(sum({sql_count_words('text')}) AS BIGINT) AS words, row_number() OVER (PARTITION BY conv_id // 24 ORDER BY conv_id) AS n FROM conversations GROUP BY conv_id),
+f(run, n, conv_id, words, batch, k) AS (SELECT run, n, conv_id, words, CAST(0 AS BIGINT), 1 FROM w WHERE n = 1
+UNION ALL SELECT w.run, w.n, w.conv_id, CASE WHEN f.words + w.words > 500 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN w.words ELSE f.words + w.words END,
+f.batch + CASE WHEN f.words + w.words > 500 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN 1 ELSE 0 END, CASE WHEN f.words + w.words > 500 OR f.k >= {fixed.MAX_BATCH_SESSIONS} THEN 1 ELSE f.k + 1 END FROM f JOIN w ON w.run = f.run AND w.n = f.n + 1)
+SELECT run, conv_id, batch FROM f""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = conversation_utterances(spark, sf_dir).groupBy("conv_id").agg(F.sum(text.count_words(F.col("text"))).alias("words")).withColumn("run", F.lit(1))
-    return sessions.pack_batches(w, "run", "conv_id", "words", 2000).select("conv_id", "batch")
+    """The conversations of a day are a run."""
+    w = conversation_utterances(spark, sf_dir).groupBy("conv_id").agg(F.sum(text.count_words(F.col("text"))).alias("words")).withColumn("run", F.expr("conv_id div 24"))
+    return sessions.pack_batches(w, "run", "conv_id", "words", 500).select("run", "conv_id", "batch")
 
 
 @query(f"SELECT user_id, event_id, CAST(before AS BIGINT) AS found_before FROM (SELECT user_id, event_id, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 40 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) WHERE before < {fixed.FOUND_TARGET}")
@@ -498,7 +498,11 @@ def record_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments.record_diagnostics(judgments.mistake_records(source, _drafts(source)), privacy=False)
 
 
-@query()
+_FIELDS = ("analyzed_utterances", "analyzed_words", "eligible_utterances", "eligible_words")
+_CANONICAL = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _FIELDS) + " || ',\"modality\":\"' || modality || '\"}'"
+
+
+@query(f"SELECT modality, sha256({_CANONICAL}) AS payload_hash FROM ({_COUNTS})")
 def package_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical JSON of the audit counts and its SHA-256."""
     row = _audit(spark, sf_dir)
