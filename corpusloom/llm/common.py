@@ -15,14 +15,20 @@ SCRATCH = "corpusloom"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data, read through Spark so that any file system works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the test data, read through Spark so that any file system works.
+
+    One that is read in fewer tasks than there are threads (a small file of one row group) is dealt out first.
+    """
+    rows, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own on a single machine, an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
