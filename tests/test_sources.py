@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import sqlite3
 
-from corpusloom.sources import histories, records, stores, transcripts
+from pyspark.sql import functions as F
+
+from corpusloom.sources import composers, histories, records, stores, tasks, transcripts
 
 
 def lines_of(spark, folder, files):
@@ -169,3 +171,40 @@ def test_dictation_and_keys(spark, tmp_path):
     assert len(out) == 299 and out[0].destination == "editor" and out[0].ts.hour == 10 and out[0].flags == ["nonuuid_pk"] and "audio" not in read.columns
     assert [(r.status, r.n) for r in stores.empty_by_status(read).collect()] == [("empty", 1)]
     assert sorted(r.key for r in stores.key_range(found, "composerData:").collect()) == ["composerData:1", "composerData:2"] and stores.has_keys(found, "bubbleId:").first().n == 1
+
+
+def test_tasks(spark, tmp_path):
+    say = lambda ts, say, **k: {"ts": 1714557600000 + ts, "type": "say", "say": say} | k
+    use = {"role": "assistant", "content": [{"type": "tool_use", "name": "new_task", "input": {"message": "do  the thing"}}]}
+    docs = {
+        "t1/api.json": [{"role": "user", "content": [{"type": "text", "text": "<task>first task</task>"}, {"type": "text", "text": "<environment_details>x <task>no</task>"}]}, use, {"role": "user", "content": [{"type": "tool_result", "content": [{"type": "text", "text": "<feedback>so <explicit_instructions a>x</explicit_instructions></feedback><answer> </answer>"}]}]}, {"role": "user", "content": "<answer>open <answer>"}, {"role": "user", "content": "<answer>see (see below for file content)</answer>"}],
+        "t2/api.json": [{"role": "user", "content": "<task>do the\nthing</task>"}],
+        "t3/api.json": {"no": "list"},
+    }
+    for name, doc in docs.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(doc))
+    found = records.files(spark, str(tmp_path), "*.json")
+    rows = tasks.documents(found)
+    assert [r.code for r in tasks.broken(found).collect()] == ["SOURCE_UNSUPPORTED_SCHEMA"]
+    own = tasks.own_tasks(tasks.spans(tasks.payloads(rows)), tasks.new_task_arguments(rows))
+    ui = rows.sparkSession.createDataFrame([(r.path, i, json.dumps(x)) for r in rows.select("path").distinct().collect() for i, x in enumerate([say(0, "task"), say(5000, "user_feedback"), say(9000, "other")])], "path string, record int, j string").select("path", "record", F.parse_json("j").alias("v"))
+    out = [(r.text, r.wrapper, r.text_status, r.ts and r.ts.second) for r in tasks.timed(own, tasks.feedback_times(ui), F.lit(None).cast("timestamp")).orderBy("record", "block").collect()]
+    assert out == [("first task", "task", "verbatim", 0), ("so", "feedback", "verbatim", 5), ("see (see below for file content)", "answer", "cleaned", None)]
+    pay = spark.createDataFrame([("<task>a</task> <feedback>b <i>c</i></feedback>",), ("<task>a</task><answer>",), ("<task>x <environment_details></task>",), ('{"status": 1, "feedback": " good "}',), ("{}",)], "payload string")
+    assert [(r.text, r.flags) for r in tasks.spans_any(pay).orderBy("text").collect()] == [("a", []), ("b <i>c</i>", ["unknown_wrapper"])]
+    assert [r.text for r in tasks.status_feedback(pay).collect()] == ["good"]
+
+
+def test_composers(spark):
+    head = lambda i, **k: ("s", f"composerData:{i}", json.dumps({"_v": 12, "composerId": i, "createdAt": 1714557600000, "fullConversationHeadersOnly": [{"bubbleId": b, "type": t} for b, t in (("b1", 1), ("b2", 2), ("b3", 1))]} | k))
+    bubble = lambda c, b, **k: ("s", f"bubbleId:{c}:{b}", json.dumps({"_v": 3, "type": 1, "text": f"text {b}"} | k))
+    items = [head("a", subComposerIds=["sub"]), head("sub"), head("n", isBestOfNSubcomposer=True), head("x", conversationMap={"k": 1}), ("s", "composerData:y", "{bad"), head("z", composerId="other"), head("m"), bubble("a", "b1"), bubble("a", "b3", isNudge=True), bubble("sub", "b1"), bubble("m", "b1"), ("s", "other", "x")]
+    rows = spark.createDataFrame(items, "path string, key string, value string")
+    found = composers.composers(rows)
+    assert {r.composer_id: r["class"] for r in found.collect()} == {"a": "current", "sub": "current", "n": "current", "x": "embedded", "y": "malformed", "z": "id_mismatch", "m": "current"}
+    assert [(r.composer_id, r.text, r.ts.hour) for r in composers.utterances(rows).collect()] == [("a", "text b1", 10)]
+    gate = composers.store_gate(found, composers.referenced(found, composers.bubbles(rows))).first()
+    assert (gate.composers, gate.current, gate.embedded, gate.malformed, gate.kept, gate.supported, gate.versions) == (7, 4, 1, 2, 1, True, "12-12")
+    leak = spark.createDataFrame([*items, head("w"), bubble("w", "b1", text="<attached x"), bubble("w", "b3")], "path string, key string, value string")
+    assert composers.utterances(leak).count() == 0
