@@ -48,7 +48,7 @@ def brute_force(texts):
 
 def test_near_duplicates_equal_brute_force(spark):
     rng, texts = random.Random(8), {}
-    for k in range(40):
+    for k in range(25):
         base = prose(rng, rng.randint(40, 300))
         texts[10 * k] = " ".join(base)
         for c in range(1, 6):  # copies around similarity 0.8, on both sides of it
@@ -59,7 +59,7 @@ def test_near_duplicates_equal_brute_force(spark):
     passage = prose(rng, 60)
     texts |= {1000 + k: " ".join(passage + prose(rng, 40)) for k in range(30)}  # a shared passage, no near copies
     want = brute_force(texts)
-    for chunk, pivots in ((minhash.CHUNK, minhash.PIVOTS), (4, 0), (2, 1)):
+    for chunk, pivots in ((minhash.CHUNK, minhash.PIVOTS), (3, 0)):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts.items()), chunk, pivots).collect()} == want
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts.items()), "").collect()}
     assert kept == {i for i, r in want.items() if i == r} and len(kept) < len(texts)
