@@ -12,7 +12,10 @@ from .registry import WS, _audit, _lit, query, sql_count_words, sql_reason
 from .tables import CONVERSATIONS, DOCUMENTS, START, conversation_utterances, document_utterances, table
 
 _SEEN = f"regexp_matches(text, {_lit('[^' + WS[1:])})"
-K = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+
+
+def _k() -> Column:
+    return F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
 
 
 def sql_strip(x: str) -> str:
@@ -32,12 +35,12 @@ def _lines(rows: DataFrame, name: str, line: Column) -> DataFrame:
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn by turn: plain, in blocks, marked as meta, behind a reminder, a tool's result, an answer; every seventh file is damaged."""
-    rows = _turns(spark, sf_dir)
+    rows, k = _turns(spark, sf_dir), _k()
     stamp = F.date_format(F.timestamp_seconds(START + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    head = [F.when(K == 5, "assistant").otherwise("user").alias("type"), F.concat_ws(":", "conv_id", "turn").alias("uuid"), stamp.alias("timestamp"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.when(K == 2, True).alias("isMeta"), F.when(K == 4, "done").alias("toolUseResult")]
-    plain = F.to_json(F.struct(*head, F.struct(F.lit("user").alias("role"), F.when(K == 3, F.concat(F.lit("<system-reminder>x</system-reminder>"), "text")).otherwise(F.col("text")).alias("content")).alias("message")))
+    head = [F.when(k == 5, "assistant").otherwise("user").alias("type"), F.concat_ws(":", "conv_id", "turn").alias("uuid"), stamp.alias("timestamp"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.when(k == 2, True).alias("isMeta"), F.when(k == 4, "done").alias("toolUseResult")]
+    plain = F.to_json(F.struct(*head, F.struct(F.lit("user").alias("role"), F.when(k == 3, F.concat(F.lit("<system-reminder>x</system-reminder>"), "text")).otherwise(F.col("text")).alias("content")).alias("message")))
     blocks = F.to_json(F.struct(*head, F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message")))
-    good = _lines(rows, "/x/c", F.when(K == 1, blocks).otherwise(plain))
+    good = _lines(rows, "/x/c", F.when(k == 1, blocks).otherwise(plain))
     return good.union(_lines(rows.where("conv_id % 7 = 0").withColumn("turn", -1 - F.col("turn")), "/x/c", F.lit("{broken")))
 
 
@@ -167,7 +170,7 @@ def task_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, i, t = K, F.col("turn").alias("i"), F.col("text").alias("text")
+    k, i, t = _k(), F.col("turn").alias("i"), F.col("text").alias("text")
     good, missing, extra, wrong = (F.to_json(F.struct(*c)) for c in ((i, t), (i,), (i, t, F.lit(1).alias("z")), (F.col("turn").cast("string").alias("i"), t)))
     return _lines(_turns(spark, sf_dir), "/x/a", F.when(k == 1, missing).when(k == 2, extra).when(k == 3, wrong).when(k == 4, "{").otherwise(good))
 
