@@ -104,7 +104,7 @@ PRIVACY_CHECKS = (
 )
 INVISIBLE = "PRIVACY_INVISIBLE_CHARACTER"
 MAX_EXAMPLE_WORDS = 15
-SOURCE_TYPES = ("aider", "claude_code", "cline", "codex", "cursor", "gemini_cli", "glite_web", "opencode", "roo_code", "wispr_flow")
+SOURCE_TYPES = ("aider", "claude_code", "cline", "codex", "cursor", "gemini_cli", "opencode", "roo_code", "wispr_flow")
 
 # --- Fixed values: letters of other scripts and the Latin letters they look like. ---
 LOOKALIKES = (

@@ -140,11 +140,11 @@ def version_codes(text: Column) -> Column:
     return F.array_remove(privacy_codes(text), "PRIVACY_SUSPICIOUS_NUMBER")
 
 
-def record_codes(rule: Column, mistake: Column, example: Column, source_type: Column) -> Column:
-    """Codes of a shareable record: of its texts, its source type, its rule and the length of its example."""
+def record_codes(rule: Column, mistake: Column, example: Column, source_type: Column, other_types: tuple[str, ...] = ()) -> Column:
+    """Codes of a shareable record: of its texts, its source type, its rule and the length of its example. ``other_types``: source types besides the readers' own."""
     texts = F.concat(privacy_codes(mistake), privacy_codes(rule), privacy_codes(example), privacy_codes(source_type))
     own = F.array(
-        F.when(~source_type.isin(*fixed.SOURCE_TYPES), F.lit("SCHEMA_INVALID_VALUE")),
+        F.when(~source_type.isin(*fixed.SOURCE_TYPES, *other_types), F.lit("SCHEMA_INVALID_VALUE")),
         F.when(fold_lookalikes(canonical(rule)).rlike(fixed.CONTEXT_DEPENDENT), F.lit("PRIVACY_CONTEXT_DEPENDENT_RULE")),
         F.when(F.size(split_words(example)) > fixed.MAX_EXAMPLE_WORDS, F.lit("PRIVACY_LONG_SOURCE_PHRASE")),
     )
