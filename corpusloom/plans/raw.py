@@ -190,7 +190,7 @@ def strict_scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Collecting ---
 
-_A, _B, _CUT = START + 3600, START + 300 * 3600, START + 200 * 3600
+_A, _B, _CUT = START + 100, START + 300 * 3600, START + 200 * 3600
 
 
 @query(f"SELECT source_adapter, CAST(count(*) AS BIGINT) AS kept FROM (SELECT source_adapter, epoch FROM {DOCUMENTS} UNION ALL SELECT 'conversations', epoch FROM {CONVERSATIONS}) WHERE epoch BETWEEN {_A} AND {_CUT} GROUP BY source_adapter")
