@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, packing, pieces, quality, repeats, resharding, simhash, toxicity
+from . import balltrees, langid, licenses, media, packing, pieces, pivots, quality, repeats, resharding, simhash, toxicity, whitening
 from .common import table
 
 
@@ -56,8 +56,20 @@ def op10_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_balltrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltrees.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_flow, op3_jpeg, op4_simhash, op5_repeats, op6_pieces, op7_licenses, op8_segments, op9_line_frequency, op10_centroids)}
+    return {f.__name__: f for f in (op1_packing, op2_flow, op3_jpeg, op4_simhash, op5_repeats, op6_pieces, op7_licenses, op8_segments, op9_line_frequency, op10_centroids, op11_pivots, op12_balltrees, op13_whitening)}
 
 
 #: Windows of 400 bytes as 800 hexadecimal digits; equal hashes are equal windows.
@@ -91,5 +103,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 NOT base_failed AND n_words - gone >= 0.2 * n_words AS kept, CAST(n_words - gone AS BIGINT) AS left_words FROM f"""
 
 
+#: Vectors that take part, as floors of 256 times their components; row numbers keep repeated rows apart.
+VECTORS_SQL = """v AS (SELECT r, vec_id, l, [floor(256 * CAST(c AS DOUBLE)) for c in embedding] AS x FROM (SELECT row_number() OVER () AS r, vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l FROM embeddings)
+WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0)"""
+
+OP11_SQL = f"""WITH {VECTORS_SQL},
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, v.vec_id, v.r AS r, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+OP12_SQL = f"""WITH {VECTORS_SQL},
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, v.vec_id, v.r AS r, a.l = v.l AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 50 = 0 AND a.l IS NOT NULL AND v.l IS NOT NULL),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, r AS pr, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, r) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.ar, pr ORDER BY s.score DESC, s.vec_id NULLS LAST, s.r) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.ar = s.ar WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repeats": OP5_SQL, "op9_line_frequency": OP9_SQL}
+    return {"op11_pivots": OP11_SQL, "op12_balltrees": OP12_SQL, "op5_repeats": OP5_SQL, "op9_line_frequency": OP9_SQL}
