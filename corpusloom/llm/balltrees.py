@@ -28,7 +28,7 @@ from .vectors import BLOCK_ROWS, CHUNK, GROUP_ROWS, NO_ID, NONE, SLICE_ROWS, Bes
 
 SCALE, EVERY, POSITIVES, NEGATIVES, RELABELLED = 256, 50, 5, 3, 7
 LABELS = 10
-LEAF, SIGNS = 256, 8
+LEAF, SIGNS = 128, 8
 #: Margin of rounding of a bound, as a share of |q| (|c| + r).
 MARGIN = 1e-9
 
@@ -74,8 +74,10 @@ class Tree:
     def read(cls, b: dict, width: int) -> Tree:
         return cls(*(unpacked(b[c], np.int64) for c in ("ids", "rows", "kinds")), unpacked(b["x"]).reshape(b["n"], width), unpacked(b["nodes"]).reshape(-1, width + 2), unpacked(b["spans"], np.int64).reshape(-1, 6))
 
-    def visit(self, q: np.ndarray, norms: np.ndarray, stays, leaf) -> int:
-        """Goes down with all queries: ``stays(at, low, high, least label, greatest label)`` says which go on, ``leaf(at, begin, end)`` compares. Returns the comparisons made."""
+    def visit(self, q: np.ndarray, stays, promise, leaf) -> int:
+        """Goes down with all queries: ``stays(at, low, high, least label, greatest label)`` says which go on, ``promise(at, scores of a centre)`` which
+        child comes first, and ``leaf(at, begin, end)`` compares. Returns the comparisons made."""
+        norms = np.sqrt((q * q).sum(axis=1))
         todo, made = [(0, np.arange(len(q)))], 0
         while todo:
             node, at = todo.pop()
@@ -86,9 +88,7 @@ class Tree:
             if not len(at):
                 continue
             if left:
-                # The child whose centre promises more comes first: it is pushed last.
-                first = (q[at] @ (self.nodes[left, :-2] - self.nodes[right, :-2])).mean() > 0
-                todo += [(right, at), (left, at)] if first else [(left, at), (right, at)]
+                todo += [(child, at) for child in sorted((left, right), key=lambda c: promise(at, q[at] @ self.nodes[c, :-2]))]  # the last one is next
                 continue
             for i in range(0, len(at), CHUNK):
                 leaf(at[i : i + CHUNK], a, b)
@@ -103,7 +103,7 @@ class Tree:
             scores = without_own(q[at] @ self.x[a:b].T, own[at], self.rows[a:b])
             best.add(at, np.where(self.kinds[a:b] == labels[at][:, None], scores, NONE), self.ids[a:b], self.rows[a:b])
 
-        return self.visit(q, np.sqrt((q * q).sum(axis=1)), stays, leaf)
+        return self.visit(q, stays, lambda at, scores: float(scores.mean()), leaf)
 
     def negatives(self, best: Best, q: np.ndarray, labels: np.ndarray, low_score: np.ndarray, high_score: np.ndarray) -> int:
         """``q`` holds the anchor of each window."""
@@ -116,7 +116,7 @@ class Tree:
             fits = (scores >= low_score[at][:, None]) & (scores <= high_score[at][:, None]) & (self.kinds[a:b] != labels[at][:, None])
             best.add(at, np.where(fits, scores, NONE), self.ids[a:b], self.rows[a:b])
 
-        return self.visit(q, np.sqrt((q * q).sum(axis=1)), stays, leaf)
+        return self.visit(q, stays, lambda at, scores: -float(np.abs(scores - high_score[at]).mean()), leaf)
 
 
 def windows(positive_score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
