@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import partitions
+from .common import materialize
 
 
 def within_bounds(ts: Column, start: Column, end: Column, cutoff: Column) -> Column:
@@ -72,3 +74,21 @@ def prefilled(utterances: DataFrame, pasted: Column) -> DataFrame:
 def rows_of_survivors(utterances: DataFrame, survivors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, with their session; rows that deduplication removed). A session that loses all rows is in the second only."""
     return utterances.join(survivors.select("utterance_id"), "utterance_id", "left_semi"), utterances.join(survivors.select("utterance_id"), "utterance_id", "left_anti")
+
+
+def redistribute(spark: SparkSession, path: str, schema: str, survivors: DataFrame) -> tuple[int | None, DataFrame]:
+    """Take the rows that deduplication removed out of a table of sessions. Only sessions that lose rows are written anew, all in one change.
+
+    ``schema``: the rows' columns without ``session_seq``, with ``utterance_id`` and ``i``. A session that loses every row stays as an empty one: it isn't among the
+    partitions any more but in the second result. Returns the new version (None if nothing changed) and (session_seq, removed, kept) of the sessions affected.
+    """
+    rows = partitions.read(spark, path, schema, "session_seq")
+    lost = rows.join(survivors.select("utterance_id"), "utterance_id", "left_anti").groupBy("session_seq").agg(F.count("*").alias("removed"))
+    lost = materialize(lost, "lost")
+    if lost.isEmpty():
+        return None, lost.withColumn("kept", F.lit(0).cast("long"))
+    kept = rows.join(lost.select("session_seq"), "session_seq", "left_semi").join(survivors.select("utterance_id"), "utterance_id", "left_semi")
+    counts = kept.groupBy("session_seq").agg(F.count("*").alias("kept"))
+    affected = materialize(lost.join(counts, "session_seq", "left").na.fill(0, ["kept"]), "affected")
+    version = partitions.change(kept, path, "session_seq", ["i"], removed=affected.where("kept = 0"))
+    return version, affected

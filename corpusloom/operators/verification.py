@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import partitions
 from .counts import canonical_json
 
 
@@ -77,9 +78,9 @@ def package(records: DataFrame, header: dict[str, Column]) -> DataFrame:
     return head.withColumn("payload_hash", payload_hash({c: F.col(c) for c in head.columns}))
 
 
-def write_sessions(rows: DataFrame, path: str) -> None:
-    """JSON lines, a folder for each session, rows in their order; committed as a whole by Spark's writer."""
-    rows.repartition("session_seq").sortWithinPartitions("session_seq", "i").write.mode("overwrite").partitionBy("session_seq").json(path)
+def write_sessions(rows: DataFrame, path: str) -> int:
+    """JSON lines, a folder for each session, rows in their order; sessions that aren't in ``rows`` keep their files. Returns the version."""
+    return partitions.change(rows, path, "session_seq", ["i"])
 
 
 def append_events(events: DataFrame, path: str) -> None:

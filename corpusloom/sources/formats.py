@@ -36,3 +36,12 @@ TEMPLATE_TEXTS = ("Please analyze this codebase and create an AGENTS.md file con
 STATUS_VALUES = ("formatted", "", "empty", "no_audio", "dismissed", "extension_paste", "extension_other")
 STATUS_FLAGS = {"dismissed": "dismissed", "extension_paste": "command_mode", "extension_other": "command_mode"}
 PK_ANOMALY_RATIO = 0.01
+
+# --- Composers ---
+COMPOSER, BUBBLE = "composerData:", "bubbleId:"
+COMPOSER_VERSIONS, BUBBLE_VERSION, USER = (10, 16), 3, 1
+LEAKS = ("<user_query", "<attached", "<additional_data", "<custom_instructions", "<environment")
+NODE_TYPES = ("root", "paragraph", "text", "mention", "tab", "linebreak")
+MENTION_NAME_KEYS = ("mentionName", "name", "label", "text")
+VERBATIM_GATES = ("verbatim_exact", "verbatim_whitespace", "verbatim_mention_sigil")
+MISSING_SHARE, MALFORMED_SHARE, ODD_VERSION_SHARE, MISMATCH_SHARE = 10, 10, 2, 4

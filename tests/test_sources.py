@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import random
 import sqlite3
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources import composers, histories, records, stores, tasks, transcripts
+from corpusloom.operators import states
+from corpusloom.sources import composers, editor_states, formats, histories, records, stores, tasks, transcripts
 
 
 def lines_of(spark, folder, files):
@@ -196,15 +200,126 @@ def test_tasks(spark, tmp_path):
     assert [r.text for r in tasks.status_feedback(pay).collect()] == ["good"]
 
 
+def state(*blocks, **root):
+    return json.dumps({"root": {"type": "root", "children": list(blocks)} | root})
+
+
+def words(x):
+    return {"type": "text", "text": x}
+
+
+def para(*children, kind="paragraph"):
+    return {"type": kind, "children": list(children)}
+
+
+def mention(name, key="mentionName"):
+    return {"type": "mention", key: name}
+
+
 def test_composers(spark):
     head = lambda i, **k: ("s", f"composerData:{i}", json.dumps({"_v": 12, "composerId": i, "createdAt": 1714557600000, "fullConversationHeadersOnly": [{"bubbleId": b, "type": t} for b, t in (("b1", 1), ("b2", 2), ("b3", 1))]} | k))
-    bubble = lambda c, b, **k: ("s", f"bubbleId:{c}:{b}", json.dumps({"_v": 3, "type": 1, "text": f"text {b}"} | k))
+    bubble = lambda c, b, **k: ("s", f"bubbleId:{c}:{b}", json.dumps({"_v": 3, "type": 1, "text": f"text {b}", "richText": state(para(words(f"text {b}")))} | k))
     items = [head("a", subComposerIds=["sub"]), head("sub"), head("n", isBestOfNSubcomposer=True), head("x", conversationMap={"k": 1}), ("s", "composerData:y", "{bad"), head("z", composerId="other"), head("m"), bubble("a", "b1"), bubble("a", "b3", isNudge=True), bubble("sub", "b1"), bubble("m", "b1"), ("s", "other", "x")]
-    rows = spark.createDataFrame(items, "path string, key string, value string")
-    found = composers.composers(rows)
-    assert {r.composer_id: r["class"] for r in found.collect()} == {"a": "current", "sub": "current", "n": "current", "x": "embedded", "y": "malformed", "z": "id_mismatch", "m": "current"}
-    assert [(r.composer_id, r.text, r.ts.hour) for r in composers.utterances(rows).collect()] == [("a", "text b1", 10)]
-    gate = composers.store_gate(found, composers.referenced(found, composers.bubbles(rows))).first()
-    assert (gate.composers, gate.current, gate.embedded, gate.malformed, gate.kept, gate.supported, gate.versions) == (7, 4, 1, 2, 1, True, "12-12")
-    leak = spark.createDataFrame([*items, head("w"), bubble("w", "b1", text="<attached x"), bubble("w", "b3")], "path string, key string, value string")
+    table = lambda rows: spark.createDataFrame(rows, "path string, key string, value string")
+    rows = table(items)
+    assert {r.composer_id: r["class"] for r in composers.composers(rows).collect()} == {"a": "current", "sub": "current", "n": "current", "x": "embedded", "y": "malformed", "z": "id_mismatch", "m": "current"}
+    assert [(r.composer_id, r.text, r.gate, r.ts.hour) for r in composers.utterances(rows).collect()] == [("a", "text b1", "verbatim_exact", 10)]
+    gate = composers.store_gate(rows).first()
+    assert (gate.composers, gate.current, gate.embedded, gate.malformed, gate.id_mismatch, gate.best_of_n, gate.sub_composers, gate.missing, gate.fetched, gate.kept, gate.supported, gate.composer_versions) == (7, 4, 1, 1, 1, 1, 1, 1, 3, 1, True, [12])
+    leak = table([*items, head("w"), bubble("w", "b1", text="<attached x"), bubble("w", "b3")])
     assert composers.utterances(leak).count() == 0
+    # A bubble without a state, or in conflict with it, gives no text; a store in which a quarter of the states conflict gives none at all.
+    more = [head("p"), bubble("p", "b1", richText=None), bubble("p", "b3", richText=state(para(words("OTHER text"))))]
+    assert composers.utterances(table([*items, *more])).count() == 0  # one of two states
+    calm = [x for i in range(3) for x in (head(f"q{i}"), bubble(f"q{i}", "b1"), bubble(f"q{i}", "b3"))]
+    found = composers.store_gate(table([*items, *more, *calm])).first()
+    assert (found.verbatim, found.no_editor_state, found.text_projection_mismatch, found.drifted, found.consistent) == (7, 1, 1, False, True)
+    assert {r.composer_id for r in composers.utterances(table([*items, *more, *calm])).collect()} == {"a", "q0", "q1", "q2"}
+    broken = [("s", f"bubbleId:r{i}:b{k}", "{bad") for i in range(1) for k in (1, 3)]
+    assert not composers.store_gate(table([*items, *calm, head("r0"), *broken])).first().supported  # two malformed of eleven
+
+
+def reference_projection(node):
+    """Text and mentions of a node, by recursion."""
+    if not isinstance(node, dict):
+        return "", []
+    kind = node.get("type")
+    if kind == "text":
+        return (node["text"] if isinstance(node.get("text"), str) else ""), []
+    if kind in ("tab", "linebreak"):
+        return {"tab": "\t", "linebreak": "\n"}[kind], []
+    if kind == "mention":
+        name = next((node[k] for k in ("mentionName", "name", "label", "text") if isinstance(node.get(k), str) and node[k].strip()), "")
+        return name, [name] if name else []
+    parts = [reference_projection(c) for c in node["children"]] if isinstance(node.get("children"), list) else []
+    return "".join(p[0] for p in parts), [n for p in parts for n in p[1]]
+
+
+def test_editor_states(spark):
+    rng = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.35:
+            return rng.choice([words(rng.choice(["a", "b c", "", "é"])), {"type": "tab"}, {"type": "linebreak"}, mention(rng.choice(["f.py", "f", " "])), mention("g", "label"), {"type": "text", "text": 3}, {"type": "image"}, 7, None, {"children": [words("u")]}])
+        return para(*[tree(depth - 1) for _ in range(rng.randint(0, 4))], kind=rng.choice(["paragraph", "list", "paragraph", 5]))
+
+    deep = para(words("bottom"))
+    for _ in range(40):
+        deep = para(deep)
+    states = [[tree(rng.randint(0, 6)) for _ in range(rng.randint(1, 4))] for _ in range(120)] + [[deep, words("x")]]
+    rows = spark.createDataFrame([(i, state(*s)) for i, s in enumerate(states)], "i int, rich string").repartition(4)
+    got = {r.i: r.p for r in rows.select("i", editor_states.projection(F.col("rich")).alias("p")).collect()}
+    for i, blocks in enumerate(states):
+        parts = [reference_projection(b) for b in blocks]
+        assert got[i].text == "\n".join(p[0] for p in parts), blocks
+        assert list(got[i].names) == [n for p in parts for n in p[1]]
+    assert "<untyped>" in {u for p in got.values() for u in p.unknown} and "list" in {u for p in got.values() for u in p.unknown}
+    none = [None, "", " ", "{", "[]", "{}", '{"root": 1}', '{"root": {"children": []}}', '{"root": {"children": {}}}', '"x"']
+    empty = spark.createDataFrame([(x,) for x in none], "rich string").select(editor_states.projection(F.col("rich")).alias("p"))
+    assert {r.p for r in empty.collect()} == {None}
+    odd = spark.createDataFrame([(state(para(words("x")), type="page"),)], "rich string").select(editor_states.projection(F.col("rich")).alias("p")).first().p
+    assert (odd.text, list(odd.unknown)) == ("x", ["page"])
+
+
+def test_gates_and_mentions(spark):
+    ask = state(para(words("see "), mention("util.py"), words(" and "), mention("util"), words(" now")), para(words("bye")))
+    cases = {
+        ("see util.py and util now\nbye", ask): ("verbatim_exact", "see and now\nbye"),
+        ("see util.py  and util now bye", ask): ("verbatim_whitespace", "see and now bye"),
+        ("see @util.py and @util now\nbye", ask): ("verbatim_mention_sigil", "see and now\nbye"),
+        ("  see @util.py and @util now\nbye", ask): ("verbatim_mention_sigil", "see and now\nbye"),
+        ("something else", ask): ("text_projection_mismatch", None),
+        ("x", None): ("no_editor_state", None),
+        ("plain  text", state(para(words("plain  text")))): ("verbatim_exact", "plain  text"),
+        # A name that is also a word of the prose goes once only, the longer name first.
+        ("a test of test and test.x", state(para(words("a "), mention("test"), words(" of test and "), mention("test.x")))): ("verbatim_exact", "a of test and"),
+        ("@f f @f", state(para(mention("f"), words(" f "), mention("f")))): ("verbatim_mention_sigil", "f"),
+        ("only.py", state(para(mention("only.py")))): ("verbatim_exact", ""),
+    }
+    rows = spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(cases)], "i int, text string, rich string").withColumn("s", editor_states.projection(F.col("rich")))
+    rows = rows.withColumn("g", editor_states.gate(F.col("text"), F.col("s"))).withColumn("own", F.when(F.col("g").isin(*formats.VERBATIM_GATES), editor_states.without_mentions(F.col("text"), F.col("s.names"))))
+    assert [(r.g, r.own) for r in rows.orderBy("i").collect()] == list(cases.values())
+
+
+def test_scans_merge(spark, tmp_path):
+    """States of parts merge to that of the whole, and a refresh scans changed files only."""
+    rng = random.Random(2)
+    rows = [(f"f{rng.randint(0, 9)}", rng.choice(["a", "b"]), rng.choice([None, 1, 2, 3]), rng.choice([None, 5, 9])) for _ in range(300)]
+    scan = states.Scan(sums={"n": F.expr("true"), "twos": F.col("v") == 2}, least={"low": F.col("t")}, greatest={"high": F.col("t")}, sets={"vs": F.col("v")})
+    whole = spark.createDataFrame(rows, "file string, inst string, v int, t int")
+    want = {r.inst: r for r in scan.of(whole, "inst").collect()}
+    for parts in (1, 3, 7):
+        split = functools.reduce(DataFrame.union, [scan.of(spark.createDataFrame(rows[i::parts], whole.schema), "inst") for i in range(parts)])
+        assert {r.inst: r for r in scan.merged(split, "inst").collect()} == want
+    schema, path = "file string, inst string, n long, twos long, low int, high int, vs array<int>", f"{tmp_path}/inv"
+    listed = lambda files: spark.createDataFrame([(f, s) for f, s in files.items()], "file string, stamp string")
+    of = lambda table: lambda fresh: scan.of(table.join(fresh, "file", "left_semi"), "file", "inst")
+    files = {f: "1" for f in {r[0] for r in rows}}
+    assert states.refresh(path, listed(files), of(whole), schema) == len(files)
+    assert {r.inst: r for r in states.inventory(spark, path, schema, scan, "inst").collect()} == want
+    assert states.refresh(path, listed(files), of(whole), schema) == 0
+    changed = [r for r in rows if r[0] != "f3"] + [("f3", "a", 8, 1)]
+    later = spark.createDataFrame([r for r in changed if r[0] != "f5"], whole.schema)
+    now = {f: "2" if f == "f3" else "1" for f in files if f != "f5"}
+    assert states.refresh(path, listed(now), of(later), schema) == 1
+    assert {r.inst: r for r in states.inventory(spark, path, schema, scan, "inst").collect()} == {r.inst: r for r in scan.of(later, "inst").collect()}
