@@ -2,7 +2,7 @@
 
 Training (a bounded sample of labelled rows, ``TRAIN_ROWS`` at most, chosen by a hash of the id): the toxic and the clean texts that hold a
 token are counted, and its log-odds get an informative Dirichlet prior from the counts of both together; so are the beginnings
-(``PREFIX`` letters) of longer tokens. Those whose log-odds stand ``Z`` deviations or more from zero form the lexicon, where a beginning
+(``PREFIX`` letters) of longer tokens. Those whose log-odds stand ``Z`` deviations or more above zero form the lexicon, where a beginning
 stands for tokens that aren't in it themselves; all others share one score, the log-odds of their pooled counts,
 which is below zero. The extreme-value parameters follow from the clean texts: lambda solves
 sum p(s) exp(lambda s) = 1 over their token scores, and K is fitted to their best segments.
@@ -33,8 +33,6 @@ from .common import each_batch, materialize, text_list
 
 #: At most so many labelled rows are expected in the training sample.
 TRAIN_ROWS = 20_000
-#: At most so many tokens form the lexicon, those farthest from zero.
-LEXICON = 20_000
 MIN_DOCS, Z, EXPECT, THRESHOLD = 4, 3.0, 0.5, 0.3
 #: Longer tokens count by their beginning too; a token outside of the lexicon has the score of its beginning.
 PREFIX = 6
@@ -55,33 +53,39 @@ def maximal_segments(at: list[int], gain: list[float], length: int, drift: float
     """(first, last, score) of all maximal scoring segments of a sequence of ``length`` scores.
 
     Only the scores at ``at`` (ascending) are given, in ``gain``; every other one is ``drift`` < 0. A linear scan that keeps the
-    candidate segments with their left and right cumulative sums (Ruzzo and Tompa's algorithm).
+    candidate segments with their left and right cumulative sums (Ruzzo and Tompa's algorithm). Each candidate knows the last one before it with a lower left sum, so
+    that a search goes over none twice; when no candidate has a lower left sum, all of them are final.
     """
-    out: list[list] = []  # first, last, sum before, sum up to the end
+    final: list[tuple[int, int, float]] = []
+    first, last, low, high, lower = [], [], [], [], []  # of the candidates; lower: the place of the last one with a lower left sum, or -1
     total, done = 0.0, 0
     for i, g in zip(at, gain, strict=True):
         before = total + drift * (i - done)
         total, done = before + g, i + 1
         if g <= 0:
             continue
-        first, low = i, before
-        j = len(out) - 1
+        begin, left, j = i, before, len(low) - 1
         while True:
-            while j >= 0 and out[j][2] >= low:
-                j -= 1
-            if j < 0 or out[j][3] >= total:
+            while j >= 0 and low[j] >= left:
+                j = lower[j]
+            if j < 0:
+                final += [(a, b, r - s) for a, b, s, r in zip(first, last, low, high, strict=True)]
+                for column in (first, last, low, high, lower):
+                    column.clear()
                 break
-            first, low = out[j][0], out[j][2]
-            del out[j:]
-            j -= 1
-        out.append([first, i, low, total])
-        # Candidates between the found one and the end stay; those it has swallowed went with `del`.
-    return [(a, b, r - s) for a, b, s, r in out]
+            if high[j] >= total:
+                break
+            begin, left, cut, j = first[j], low[j], j, lower[j]
+            for column in (first, last, low, high, lower):
+                del column[cut:]
+        for column, value in ((first, begin), (last, i), (low, left), (high, total), (lower, j)):
+            column.append(value)
+    return final + [(a, b, r - s) for a, b, s, r in zip(first, last, low, high, strict=True)]
 
 
 @dataclass
 class ToxicityModel:
-    """What training learned; small, bounded by ``LEXICON``."""
+    """What training learned; as small as the lexicon of the training sample."""
 
     score: dict[str, float]
     drift: float
@@ -184,14 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
     log_t = F.log((F.col("t") + prior) / (n_t + mass - F.col("t") - prior))
     log_c = F.log((F.col("c") + prior) / (n_c + mass - F.col("c") - prior))
     scored = counted.where(F.col("t") + F.col("c") >= MIN_DOCS).withColumn("s", log_t - log_c).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
-    kept = scored.where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "token").limit(LEXICON).collect()
-    score = {r["token"]: float(r["s"]) for r in kept if r["s"] > 0}
-    whole = [r for r in kept if r["s"] > 0 and not r["token"].endswith("*")]
+    kept = scored.where(F.col("z") >= Z).orderBy(F.desc("z"), "token").collect()  # tokens of the training sample, which is bounded
+    score = {r["token"]: float(r["s"]) for r in kept}
+    whole = [r for r in kept if not r["token"].endswith("*")]
     in_t, in_c = sum(r["t"] for r in whole), sum(r["c"] for r in whole)
     drift = min(-1e-3, math.log(max(n_t - in_t, 1) / (n_t + 1)) - math.log(max(n_c - in_c, 1) / (n_c + 1)))
     # Chance segments, from the clean texts: tokens of the lexicon and all others.
-    values = np.array([score[r["token"]] for r in kept if r["s"] > 0] + [drift])
-    weight = np.array([float(r["c"]) + 0.5 for r in kept if r["s"] > 0] + [float(n_c - in_c)])
+    values = np.array([score[r["token"]] for r in kept] + [drift])
+    weight = np.array([float(r["c"]) + 0.5 for r in kept] + [float(n_c - in_c)])
     if (values * weight).sum() >= 0:
         drift = -2 * (values[:-1] * weight[:-1]).sum() / weight[-1]
         values[-1] = drift
