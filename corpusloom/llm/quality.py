@@ -68,6 +68,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def line_hash(line: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(normalised_line(line).encode(), 7))
+
+
 def base_counts(text: str) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hashes of distinct lines, their words, identity)."""
     raw = text.encode()
@@ -76,8 +80,7 @@ def base_counts(text: str) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     kinds: dict[int, int] = {}
     for line, times in Counter(lines).items():
-        plain = normalised_line(line.decode()).encode()
-        h = _signed(xxhash.xxh64_intdigest(plain, 7))
+        h = line_hash(line.decode())
         kinds[h] = kinds.get(h, 0) + times * len(line.split())
     return len(words), chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), list(kinds), list(kinds.values()), _signed(xxhash.xxh64_intdigest(raw, 7))
 
@@ -92,14 +95,14 @@ def _base(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def quality_table(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """Base counts and verdict of each document: the columns of the contract plus ``left_words`` and ``row_no``."""
+def quality_table(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, with_lines: bool = False) -> DataFrame:
+    """Base counts and verdict of each document: the columns of the contract plus ``left_words`` and ``row_no``; with ``gone_lines`` (hashes of its lines above the limit) if asked for."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id"), F.col(host).alias("host"), F.col("text").cast("string").alias("text"))
     base = materialize(rows.mapInArrow(each_batch(_base), BASE_SCHEMA), "quality")
     lines = base.select("row_no", F.coalesce("host", F.lit("")).alias("host"), "identity", F.inline(F.arrays_zip("line_hash", "line_words"))).withColumnsRenamed({"line_hash": "h", "line_words": "w"})
     # Two counting steps, each with a partial one before its shuffle: no line gathers its documents in one task.
     common = lines.groupBy("host", "h", "identity").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    gone = lines.join(common.select("host", "h"), ["host", "h"]).groupBy("row_no").agg(F.sum("w").alias("gone"))
+    gone = lines.join(common.select("host", "h"), ["host", "h"]).groupBy("row_no").agg(F.sum("w").alias("gone"), *([F.collect_set("h").alias("gone_lines")] if with_lines else []))  # at most a text's own lines
     out = base.drop("line_hash", "line_words", "identity").join(gone, "row_no", "left").withColumn("total", F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return out.withColumn("left_words", left).withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("gone", "total", "host")
@@ -107,3 +110,22 @@ def quality_table(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
 
 def op9(docs: DataFrame) -> DataFrame:
     return quality_table(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised form has one of these hashes; blank lines stay."""
+    return "\n".join(line for line in text.split("\n") if not line.encode().strip() or line_hash(line) not in gone)
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Rows (any columns, with text, n_chars and ``gone_lines``): those lines go from the texts, and ``n_chars`` follows where a text changed."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, sizes, gone = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), batch.column("gone_lines").to_pylist()
+        for i, lines in enumerate(gone):
+            if lines:
+                texts[i] = without_lines(texts[i], set(lines))
+                sizes[i] = len(texts[i])
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).set_column(batch.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, pa.int64()))
+
+    return rows.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(each_batch(run), rows.withColumn("n_chars", F.col("n_chars").cast("long")).schema).drop("gone_lines")
