@@ -16,6 +16,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import partitions
 from .common import materialize
 
 OVERHEAD = 16
@@ -123,12 +124,17 @@ def reshard(rows: DataFrame, new_shards: int, blocks: int = BLOCKS) -> DataFrame
     return dealt.withColumn("own", own).join(counts, ["shard", "bucket"]).withColumn("slot", F.col("own") - 1 + F.col("before")).drop("own", "before", "bucket")
 
 
-def rewrite_affected(placed: DataFrame, path: str, write_all: bool = False) -> DataFrame:
-    """Write the shards that gave or took rows, one folder a shard; others keep their files. Returns the shards written."""
-    changed = placed.where("old_shard <> shard")
-    touched = changed.select(F.col("shard")).union(changed.select(F.col("old_shard").alias("shard"))).distinct()
-    out = placed if write_all else placed.join(F.broadcast(touched), "shard", "left_semi")  # as many rows as shards
-    out.drop("row_key", "block").repartition("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def rewrite_affected(placed: DataFrame, path: str) -> DataFrame:
+    """Write the shards that gave or took rows, each in the order of its slots; every other shard keeps its very files. Returns the shards written.
+
+    ``path`` is a table of ``corpusloom.operators.partitions`` with the key ``shard``; a first call on an empty folder should give all shards as changed. A shard that
+    gave all its rows goes. The change shows as a whole or not at all.
+    """
+    changed = placed.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
+    touched = materialize(changed.select("shard").union(changed.select(F.col("old_shard").alias("shard"))).where("shard is not null").distinct(), "touched")
+    rows = placed.join(F.broadcast(touched), "shard", "left_semi").drop("row_key", "block")  # as many rows as shards
+    emptied = touched.join(rows.select("shard").distinct(), "shard", "left_anti")
+    partitions.change(rows, path, "shard", ["slot"], removed=emptied, form="parquet")
     return touched
 
 
