@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import components, langid, licenses, media, packing, pieces, quality, repeats, resharding, simhash, toxicity
+from corpusloom.operators import partitions
 
 SF = "/root/testdata/sf0.001"
 BPE, SPM = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -144,13 +145,29 @@ def test_flow_is_least_cost():
             assert sum(f * price[i][j] for (i, j), f in flow.items()) == least(0, tuple(capacity))
 
 
+def files_of(path):
+    return {p: hashlib.sha256(p.read_bytes()).hexdigest() for p in path.rglob("part-*")}
+
+
 def test_rewrite_only_affected(spark, docs, tmp_path):
-    rows = docs.select("doc_id", F.lit(10).cast("long").alias("size"), F.xxhash64("doc_id").alias("row_key"), (F.col("doc_id") % 2).cast("int").alias("old_shard"))
-    placed = resharding.reshard(rows, 3, 8)
-    touched = {r.shard for r in resharding.rewrite_affected(placed, f"{tmp_path}/out").collect()}
-    back = spark.read.parquet(f"{tmp_path}/out")
-    assert {r.shard for r in back.select("shard").distinct().collect()} <= touched
-    assert back.count() == placed.where(F.col("shard").isin(*touched)).count()
+    """Shards that no row leaves or enters keep their very files; the others hold their rows in the order of the slots."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("row_key"), F.lit(0).alias("block"), F.pmod("doc_id", F.lit(4)).cast("int").alias("shard")).withColumn("slot", F.expr("row_number() over (partition by shard order by doc_id) - 1").cast("long"))
+    path = f"{tmp_path}/out"
+    assert {r.shard for r in resharding.rewrite_affected(rows.withColumn("old_shard", F.lit(-1)), path).collect()} >= {0, 1, 2, 3}
+    before = files_of(tmp_path)
+    moved = rows.withColumn("old_shard", F.col("shard")).withColumn("shard", F.when((F.col("doc_id") == 1), 0).otherwise(F.col("shard"))).withColumn("slot", F.expr("row_number() over (partition by shard order by doc_id) - 1").cast("long"))
+    assert {r.shard for r in resharding.rewrite_affected(moved, path).collect()} == {0, 1}
+    after = files_of(tmp_path)
+    assert before.items() <= after.items()
+    back = partitions.read(spark, path, "doc_id long, slot long, old_shard int", "shard", form="parquet")
+    assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in moved.collect()}
+    live = {r.shard: r.generation for r in partitions.manifest(spark, path).collect()}
+    assert live[2] == live[3] != live[0] == live[1]
+    emptied = moved.where("shard <> 3").union(moved.where("shard = 3").withColumn("shard", F.lit(2)))
+    resharding.rewrite_affected(emptied, path)
+    assert {r.shard for r in partitions.manifest(spark, path).collect()} == {0, 1, 2}
+    assert resharding.rewrite_affected(rows.limit(0).withColumn("old_shard", F.lit(1)), path).collect() == []
+    assert partitions.read(spark, path, "doc_id long", "shard", form="parquet").count() == moved.count()
 
 
 def test_media_round_trip(docs, texts):
@@ -348,6 +365,40 @@ def test_maximal_segments():
         assert np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+@pytest.mark.parametrize("kind", ["apart", "rising", "falling", "random"])
+def test_segments_are_found_in_linear_time(kind):
+    n, rng = 200_000, random.Random(5)
+    gain = {"apart": [2.0] * n, "rising": [0.1 + 3 * i / n for i in range(n)], "falling": [3.1 - 3 * i / n for i in range(n)], "random": [rng.uniform(0.1, 6) for _ in range(n)]}[kind]
+    at = list(range(0, 50 * n, 50)) if kind == "apart" else list(range(0, 4 * n, 4))
+    began = time.perf_counter()
+    found = toxicity.maximal_segments(at, gain, at[-1] + 1, -0.5)
+    assert time.perf_counter() - began < 2
+    assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False)) and min(f[2] for f in found) > 0
+    assert sum(sum(gain[k] for k in range(f[0] // (at[1] - at[0]), f[1] // (at[1] - at[0]) + 1)) for f in found) <= sum(gain) + 1e-6
+
+
+def test_lambda_and_k_hold_in_simulation():
+    """Best segments of random texts follow the extreme-value law that lambda and K state."""
+    rng = np.random.default_rng(8)
+    values, weight = np.array([2.0, 1.0, -0.8]), np.array([0.05, 0.1, 0.85])
+    lam = toxicity.extreme_value_lambda(values, weight)
+    assert abs((weight * np.exp(lam * values)).sum() - 1) < 1e-9 and lam > 0
+
+    def tops(length, times):
+        out = []
+        for _ in range(times):
+            draws = rng.choice(3, length, p=weight)
+            at = np.flatnonzero(draws < 2)
+            out.append(max((s for *_, s in toxicity.maximal_segments(at.tolist(), values[draws[at]].tolist(), length, -0.8)), default=0.0))
+        return np.array(out)
+
+    k = np.exp((lam * tops(400, 600)).mean() - np.log(400) - 0.5772156649)
+    # Other lengths than that of the fit: the share of texts with a segment that should come by chance in one of ten texts.
+    for length in (200, 1600):
+        limit = (np.log(k * length) - np.log(-np.log(0.9))) / lam
+        assert 0.05 < (tops(length, 600) >= limit).mean() < 0.16
+
+
 def test_logistic_converges_on_a_steep_curve():
     x = np.minimum((np.arange(400) + 0.5) * 0.25, 25)
     p = 1 / (1 + np.exp(16 - 0.8 * x))

@@ -92,6 +92,21 @@ def test_lines_of_failing_documents_count(spark):
     assert all(out[2000 + i].kept and out[2000 + i].left_words == 44 for i in range(40))
 
 
+def test_lines_above_the_limit_leave_the_texts(spark):
+    """A document that is kept loses the notice that stands on more pages of its host than the limit; other hosts, blank and rare lines stay."""
+    rng = random.Random(12)
+    notice = "All rights reserved 2024 by nobody."
+    own = {i: "\n".join([" ".join(prose(rng, 40)), "", notice.replace("2024", str(2000 + i)) + "  ", " ".join(prose(rng, 30))]) for i in range(60)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in own.items()] + [(100, own[0], "en", "t", 1), (101, "rare line here\n" + own[1], "en", "s", 7)] + [(200 + i, notice + f"\nword {'abcdefghij'[i % 10]}{i}", "en", "s", 1) for i in range(5)]
+    got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert set(got) == {*own, 100, 101}
+    for i, t in own.items():
+        a, b, _, c = t.split("\n")
+        assert (got[i].text, got[i].n_chars) == ("\n".join([a, b, c]), len(a) + len(b) + len(c) + 2)
+    assert (got[100].text, got[100].n_chars) == (own[0], 1)
+    assert got[101].text.startswith("rare line here\n") and "reserved" not in got[101].text
+
+
 def test_passages_of_over_fifty_words_go(spark):
     rng = random.Random(6)
     short = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))  # 101 bytes
