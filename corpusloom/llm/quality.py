@@ -98,7 +98,7 @@ def _base(batch: pa.RecordBatch) -> pa.RecordBatch:
 def quality_table(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, with_lines: bool = False) -> DataFrame:
     """Base counts and verdict of each document: the columns of the contract plus ``left_words`` and ``row_no``; with ``gone_lines`` (hashes of its lines above the limit) if asked for."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id"), F.col(host).alias("host"), F.col("text").cast("string").alias("text"))
-    base = materialize(rows.mapInArrow(each_batch(_base), BASE_SCHEMA), "quality")
+    base = materialize(rows.mapInArrow(each_batch(_base), BASE_SCHEMA.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")), "quality")
     lines = base.select("row_no", F.coalesce("host", F.lit("")).alias("host"), "identity", F.inline(F.arrays_zip("line_hash", "line_words"))).withColumnsRenamed({"line_hash": "h", "line_words": "w"})
     # Two counting steps, each with a partial one before its shuffle: no line gathers its documents in one task.
     common = lines.groupBy("host", "h", "identity").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)

@@ -239,7 +239,7 @@ def score_table(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             sums.append(e)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, pa.int32()), pa.array(sums, pa.float64())], names=["doc_id", "score", "predicted", "n_passages", "evidence"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run), "doc_id long, score double, predicted int, n_passages int, evidence double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, n_passages int, evidence double")
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
