@@ -114,6 +114,10 @@ LOOKALIKES = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
 )
 
+# --- Fixed values: packages. ---
+VERSION_FIELDS = ("client_version", "producer_version", "privacy_verifier_version")
+VERSION_PATTERN = r"\A[0-9]+(\.[0-9]+)*\z"
+
 # --- Fixed values: agent batches. ---
 AGENT_RESERVE, AGENT_STEPS, DEFAULT_AGENT_CAP = 0.35, 3, 200
 MAX_BATCH_SESSIONS, MIN_BATCH_WORDS, MAX_BATCH_WORDS = 25, 400, 8000
@@ -171,6 +175,7 @@ STEP_TRANSITIONS = {
     "failed": ("in_progress",),
     "invalidated": ("in_progress",),
 }
+PROMOTION_PATH = ("in_progress", "produced", "verified_deterministic", "promoted")
 RETENTION_DAYS = 30
 RESTART_FIELDS = ("adapter_versions", "artifact_schema_version", "tokenizer_version", "consent_policy_version")
 #: A changed field and the earliest step that it makes invalid.

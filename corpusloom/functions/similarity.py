@@ -48,12 +48,18 @@ def _longest(a: str, b: str, ha: _Hashes, hb: _Hashes, alo: int, ahi: int, blo:
     return alo, blo, 0
 
 
-def _profile(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def profile(text: str, bits: int = 15) -> np.ndarray:
+    """Counts of the text's 4-grams, hashed to ``2 ** bits`` classes."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(c) < 4:
-        return np.zeros(32768, np.int64)
+        return np.zeros(1 << bits, np.int64)
     h = c[:-3] * np.uint32(2654435761) ^ c[1:-2] * np.uint32(2246822519) ^ c[2:-1] * np.uint32(3266489917) ^ c[3:] * np.uint32(668265263)
-    return np.bincount(((h ^ (h >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(17), minlength=32768)
+    return np.bincount(((h ^ (h >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(32 - bits), minlength=1 << bits)
+
+
+def most_apart(total: int, least: float) -> float:
+    """How far apart the profiles of two texts can be whose ratio is ``least``: an inserted or deleted character changes at most seven counts, and at most (1 - ratio) x total are."""
+    return 7 * ((1 - least) * total + 1e-6)
 
 
 def ratio(a: str, b: str, least: float = 0.0) -> float:
@@ -61,8 +67,7 @@ def ratio(a: str, b: str, least: float = 0.0) -> float:
     total = len(a) + len(b)
     if not total:
         return 1.0
-    # An inserted or deleted character changes at most seven counts of 4-grams, and at most (1 - ratio) x total are.
-    if least and (2 * min(len(a), len(b)) < least * total - 1e-9 or np.abs(_profile(a) - _profile(b)).sum() > 7 * ((1 - least) * total + 1e-6)):
+    if least and (2 * min(len(a), len(b)) < least * total - 1e-9 or np.abs(profile(a) - profile(b)).sum() > most_apart(total, least)):
         return 0.0
     n = max(len(a), len(b)) + 1
     up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)

@@ -24,7 +24,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/corpusloom-core/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._corpusloom_path = path  # noqa: SLF001
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; a frame of another origin is left alone."""
+    if path := getattr(df, "_corpusloom_path", None):
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)  # noqa: SLF001
 
 
 def global_row_number(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:

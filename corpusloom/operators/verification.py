@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import partitions
-from .counts import canonical_json
 
 
 def _fault(rows: DataFrame, code: str, ref: str, where: Column) -> DataFrame:
@@ -58,26 +57,6 @@ def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def payload_hash(fields: dict[str, Column]) -> Column:
-    """SHA-256 of the canonical JSON of all fields but the hash itself."""
-    return F.sha2(canonical_json({k: v for k, v in fields.items() if k != "payload_hash"}), 256)
-
-
-def package(records: DataFrame, header: dict[str, Column]) -> DataFrame:
-    """A row for each included record with its place, under one header; the header's hash covers the digest of the records in order.
-
-    Records stay rows, so a package of any size is written by many tasks; the digest is over (record_id, hash of the record) and its input is as
-    large as the list of included ids.
-    """
-    content = [c for c in records.columns if c not in ("record_id", "included")]
-    kept = records.where("included").select("record_id", F.struct(*sorted(content)).alias("record"))
-    hashed = kept.withColumn("record_sha256", F.sha2(F.to_json("record", {"ignoreNullFields": "false"}), 256))
-    parts = hashed.groupBy(F.substring("record_id", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "record_id", "record_sha256"))), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    total = parts.agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "h"))), "\n"), 256).alias("records_sha256"))
-    head = total.select(*[v.alias(k) for k, v in header.items()], "records", "records_sha256")
-    return head.withColumn("payload_hash", payload_hash({c: F.col(c) for c in head.columns}))
-
-
 def write_sessions(rows: DataFrame, path: str) -> int:
     """JSON lines, a folder for each session, rows in their order; sessions that aren't in ``rows`` keep their files. Returns the version."""
     return partitions.change(rows, path, "session_seq", ["i"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import collect, verification
-from ..sources import composers, histories, records, stores, tasks, transcripts
-from .registry import WS, _audit, _lit, query, sql_count_words, sql_reason
+from ..sources import histories, records, stores, tasks, transcripts
+from .registry import WS, _lit, query, sql_count_words, sql_reason
 from .tables import CONVERSATIONS, DOCUMENTS, START, conversation_utterances, document_utterances, table
 
 _SEEN = f"regexp_matches(text, {_lit('[^' + WS[1:])})"
@@ -145,18 +145,6 @@ def dictation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.dictation_files(stores.mark_anomalies(rows)).select("path", "seen", "pk_anomalies", "empty_rows", "supported")
 
 
-@query(f"SELECT 'c' || conv_id AS composer_id, 'b' || turn AS bubble_id, sha256({sql_strip('text')}) AS digest FROM conversations WHERE conv_id % 5 NOT IN (0, 1) AND (conv_id % 7 <> 0 OR conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn % 2 = 1)) AND turn % 4 <> 1 AND {_SEEN}")
-def composer_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth composer names another id, every fifth is one of several tries; every seventh misses its odd bubbles and so goes wholly."""
-    rows = _turns(spark, sf_dir).withColumn("c", F.concat(F.lit("c"), "conv_id")).withColumn("b", F.concat(F.lit("b"), "turn"))
-    heads = F.struct(F.lit(12).alias("_v"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise(F.col("c")).alias("composerId"), F.when(F.col("conv_id") % 5 == 1, True).alias("isBestOfNSubcomposer"), F.col("h").alias("fullConversationHeadersOnly"))
-    own = rows.groupBy("conv_id", "c").agg(F.collect_list(F.struct(F.col("b").alias("bubbleId"), F.lit(1).alias("type"))).alias("h")).select(F.concat(F.lit("composerData:"), "c").alias("key"), F.to_json(heads).alias("value"))
-    bubble = F.struct(F.lit(3).alias("_v"), F.lit(1).alias("type"), F.col("text").alias("text"), F.when(F.col("turn") % 4 == 1, True).alias("isNudge"))
-    stored = rows.where("conv_id % 7 <> 0 or turn % 2 = 0").select(F.concat_ws(":", F.lit("bubbleId"), "c", "b").alias("key"), F.to_json(bubble).alias("value"))
-    items = own.union(stored).select(F.lit("s").alias("path"), "key", "value")
-    return composers.utterances(items).select("composer_id", "bubble_id", F.sha2("text", 256).alias("digest"))
-
-
 @query(f"SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS INT) AS record, sha256({sql_strip('text')}) AS digest FROM conversations WHERE turn % 4 IN (0, 3) AND {_SEEN} AND NOT regexp_matches(text, '<(file|url|folder)_content')")
 def task_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 4
@@ -255,10 +243,3 @@ def invalidated_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS run_id, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS done, CAST(count(*) AS BIGINT) AS total, CAST(100 * count(*) FILTER (o_orderstatus = 'F') // count(*) AS BIGINT) AS percent FROM orders GROUP BY 1")
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.progress(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), (F.col("o_orderstatus") == "F").alias("done")))
-
-
-@query()
-def package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package over the audit counts as its records, with the hash of its payload; a test recomputes it in Python."""
-    rows = _audit(spark, sf_dir)
-    return verification.package(rows.withColumn("record_id", F.col("modality")).withColumn("included", F.lit(True)), {"client_version": F.lit("1.0"), "tokenizer_version": F.lit(fixed.MIN_REMAINDER_WORDS)})

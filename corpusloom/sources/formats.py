@@ -45,3 +45,16 @@ NODE_TYPES = ("root", "paragraph", "text", "mention", "tab", "linebreak")
 MENTION_NAME_KEYS = ("mentionName", "name", "label", "text")
 VERBATIM_GATES = ("verbatim_exact", "verbatim_whitespace", "verbatim_mention_sigil")
 MISSING_SHARE, MALFORMED_SHARE, ODD_VERSION_SHARE, MISMATCH_SHARE = 10, 10, 2, 4
+
+# --- Task folders ---
+WRAPPERS = ("task", "feedback", "answer", "user_message")
+INJECTED_BLOCKS = ("<environment_details>", "<file_content", "<folder_content", "<url_content", "<workspace_diagnostics>")
+MENTION_TAGS = ("<file_content", "<url_content", "<folder_content")
+MENTION_MARKER = r"\(see below for [^)]{0,60}content\)"
+INSTRUCTIONS = r"(?s)<explicit_instructions\b[^>]*>.*?</explicit_instructions>"
+API_HISTORY, HISTORY_ITEM, TASK_UI, LEGACY_UI = "api_conversation_history.json", "history_item.json", "ui_messages.json", "claude_messages.json"
+
+# --- Quotas ---
+QUOTA_WINDOWS = ("five_hour", "seven_day")
+QUOTA_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
+QUOTA_AGE_LIMIT = 60 * 60

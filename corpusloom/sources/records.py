@@ -6,7 +6,7 @@ JSON. Files come by Spark's readers, so any file system works; a file over ``MOS
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -42,9 +42,10 @@ def lines(found: DataFrame) -> DataFrame:
 def parsed(rows: DataFrame) -> DataFrame:
     """The visible lines with ``v``, and ``tail``: a broken last line (an append that was cut), or ``malformed``: any other broken one."""
     seen = rows.where(F.col("line").rlike(VISIBLE)).withColumn("v", F.try_parse_json("line"))
-    last = F.max("line_no").over(Window.partitionBy("path"))
-    broken = F.col("v").isNull()
-    return seen.withColumn("_last", F.col("line_no") == last).withColumn("tail", broken & F.col("_last")).withColumn("malformed", broken & ~F.col("_last")).drop("_last")
+    # The last line of each file is an aggregation, so that no task gathers the lines of a large file.
+    last = rows.where(F.col("line").rlike(VISIBLE)).groupBy("path").agg(F.max("line_no").alias("_last"))
+    broken, at_end = F.col("v").isNull(), F.col("line_no") == F.col("_last")
+    return seen.join(last, "path").withColumn("tail", broken & at_end).withColumn("malformed", broken & ~at_end).drop("_last")
 
 
 def at(v: Column, path: str) -> Column:

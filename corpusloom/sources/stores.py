@@ -9,28 +9,86 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.dedup import first_of
-from . import formats
-from .records import MOST_BYTES, VISIBLE, is_object, is_true, kind, present, string, strip
+from . import formats, records
+from .records import VISIBLE, is_object, is_true, kind, present, string, strip
 
+#: The most that one row of Spark's binary reader can hold.
+MOST_STORE_BYTES = (1 << 31) - 1 - 1024
 _KINDS = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
 
 
-def _open(content: bytes) -> sqlite3.Connection:
+def with_log(content: bytes, log: bytes) -> bytes:
+    """A store's pages with the committed frames of its write-ahead log.
+
+    Frames count while their salts are those of the log's header and the running checksum holds, up to the last one that ends a transaction.
+    """
+    if len(log) < 32 or int.from_bytes(log[:4]) & ~1 != 0x377F0682:
+        return content
+    order = ">u4" if log[3] & 1 else "<u4"
+    size = int.from_bytes(log[8:12])
+    if size < 512:
+        return content
+
+    def summed(data: bytes, a: int, b: int) -> tuple[int, int]:
+        words = np.frombuffer(data, order).tolist()
+        for x, y in zip(words[::2], words[1::2], strict=True):
+            a = (a + x + b) & 0xFFFFFFFF
+            b = (b + y + a) & 0xFFFFFFFF
+        return a, b
+
+    a, b = summed(log[:24], 0, 0)
+    pages, pending, total = {}, {}, 0
+    if (a, b) == (int.from_bytes(log[24:28]), int.from_bytes(log[28:32])):
+        for at in range(32, len(log) - size - 23, size + 24):
+            head, page = log[at : at + 24], log[at + 24 : at + 24 + size]
+            a, b = summed(head[:8] + page, a, b)
+            if head[8:16] != log[16:24] or (a, b) != (int.from_bytes(head[16:20]), int.from_bytes(head[20:24])):
+                break
+            pending[int.from_bytes(head[:4])] = page
+            if committed := int.from_bytes(head[4:8]):
+                pages |= pending
+                pending, total = {}, committed
+    if not pages:
+        return content
+    out = bytearray(content[: total * size].ljust(total * size, b"\0"))
+    for number, page in pages.items():
+        if number <= total:
+            out[(number - 1) * size : number * size] = page
+    return bytes(out)
+
+
+def _open(content: bytes, log: bytes | None = None) -> sqlite3.Connection:
+    """The store in memory, read-only. A store in write-ahead mode is opened with its log, as a store in the plain mode."""
+    if log:
+        content = with_log(content, log)
+    if content[18:20] == b"\x02\x02":
+        content = content[:18] + b"\x01\x01" + content[20:]
     con = sqlite3.connect(":memory:")
     con.deserialize(content)
     con.execute("PRAGMA query_only = ON")
     return con
 
 
-def store_files(spark: SparkSession, path: str, pattern: str = "*.db", most: int = MOST_BYTES) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return found.where(F.col("length") <= most).select("path", "content")
+def store_files(spark: SparkSession, path: str, pattern: str = "*.db", most: int = MOST_STORE_BYTES) -> DataFrame:
+    """path, content, log: the stores, and the write-ahead logs beside those in that mode. Stores over ``most`` bytes are left out; ``oversize`` reports them."""
+    read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).where(F.col("length") <= most)
+    found = read(pattern).select("path", "content")
+    logs = read(f"{pattern}-wal").select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("log"))
+    ahead = F.substring("content", 19, 1) == F.lit(b"\x02")
+    # Only stores in that mode meet the logs.
+    return found.where(~F.coalesce(ahead, F.lit(False))).withColumn("log", F.lit(None).cast("binary")).unionByName(found.where(ahead).join(logs, "path", "left"))
+
+
+def oversize(spark: SparkSession, path: str, pattern: str = "*.db", most: int = MOST_STORE_BYTES) -> DataFrame:
+    """Diagnostics of the stores that ``store_files`` leaves out, and of those whose log it does."""
+    return records.oversize(spark, path, pattern, most).unionByName(records.oversize(spark, path, f"{pattern}-wal", most))
 
 
 def structure(stores: DataFrame) -> DataFrame:
@@ -38,9 +96,9 @@ def structure(stores: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content, log in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "log")), strict=True):
                 try:
-                    con = _open(content)
+                    con = _open(content, log)
                     tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
                     rows = [(path, t, r[1]) for t in tables for r in con.execute(f'PRAGMA table_info("{t.replace(chr(34), chr(34) * 2)}")')]
                 except sqlite3.Error:
@@ -69,9 +127,9 @@ def read_table(stores: DataFrame, table: str, columns: dict[str, str], where: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = {"string": lambda x: isinstance(x, str), "double": lambda x: isinstance(x, (int, float)), "long": lambda x: isinstance(x, int)}
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content, log in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "log")), strict=True):
                 try:
-                    con = _open(content)
+                    con = _open(content, log)
                     own = {r[1].lower(): r[1] for r in con.execute(f'PRAGMA table_info("{table}")')}
                     if not own:
                         continue

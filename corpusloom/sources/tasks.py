@@ -10,15 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.dedup import first_of
+from .formats import INJECTED_BLOCKS, INSTRUCTIONS, MENTION_MARKER, MENTION_TAGS, WRAPPERS
 from .records import elements, is_array, is_object, kind, string, strip
 
-# --- Fixed values ---
-WRAPPERS = ("task", "feedback", "answer", "user_message")
-INJECTED_BLOCKS = ("<environment_details>", "<file_content", "<folder_content", "<url_content", "<workspace_diagnostics>")
-MENTION_TAGS = ("<file_content", "<url_content", "<folder_content")
-MENTION_MARKER = r"\(see below for [^)]{0,60}content\)"
-INSTRUCTIONS = r"(?s)<explicit_instructions\b[^>]*>.*?</explicit_instructions>"
-
 
 def documents(found: DataFrame) -> DataFrame:
     """A row for each record of each document that is a JSON list: path, record, v. Others are reported by ``broken``."""

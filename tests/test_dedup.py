@@ -7,7 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 from corpusloom.functions.similarity import ratio
-from corpusloom.operators import dedup
+from corpusloom.operators import components, dedup
 
 SCHEMA = "utterance_id string, source_adapter string, source_path_hash string, ts timestamp, text string, text_status string, modality string"
 T0 = datetime(2024, 1, 1)
@@ -97,3 +97,28 @@ def test_ratio_equals_the_definition():
             assert ratio(a, b) == want
             got = ratio(a, b, 0.92)
             assert got == want or (got == 0 and want < 0.92)
+
+
+def test_dense_buckets_in_small_chunks(spark, monkeypatch):
+    """Many rows of one time and length, dealt out as pairs of chunks, give what brute force gives."""
+    monkeypatch.setattr(dedup, "CHUNK_ROWS", 9)
+    rng = random.Random(21)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    base = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(25)]
+    rows = []
+    for i in range(220):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 6])):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+        rows.append((f"u{i:03d}", rng.choice("abc"), "p", T0 + timedelta(seconds=rng.randrange(900)), "".join(t), "verbatim", "written"))
+    got = run(spark, rows)
+    assert got == brute(rows) and {k for _, k in got.values()} == {"exact", "fuzzy"}
+
+
+def test_components_by_stars_and_at_once(spark):
+    rng = random.Random(5)
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(230))] + [(f"m{i:03d}", f"m{i + 1:03d}") for i in range(200)]
+    frame = spark.createDataFrame(edges, "a string, b string")
+    stars, once = ({(r.node, r.root) for r in components.components(frame, small).collect()} for small in (0, 1000))
+    assert stars == once and ("m200", "m000") in once
