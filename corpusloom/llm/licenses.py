@@ -6,7 +6,8 @@ what the template saves is its rank. For each template that saves anything the b
 template explains a good part of them (``SHARE`` of their compressed size, over up to ``SKIP`` pieces at once). Every template is then
 confirmed by the exact differences of wording, those that save most first: all but ``SLACK`` of its words must stand in the block in
 order, with few others between, and the words that name the license must all be there. A block may confirm several
-licenses whose words don't overlap, so a dual license gives two rows. The differences are part of the result.
+licenses whose words don't overlap, so a dual license gives two rows. The differences are part of the result. An SPDX expression gives a seed for each of its
+licenses; what stands behind WITH is an exception and none. A short name behind a negation names no license.
 
 Defined results: a null or empty text gives no row; a block that no template confirms gives no row; equal blocks of one text give a
 row each; long texts are scanned wholly; repeated rows repeat theirs; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +32,10 @@ SLACK = 0.1
 PIECE_WORDS, SKIP, SHARE = 40, 2, 0.35
 MEMO = 20_000
 WORD = re.compile(r"[\w.+-]*\w")
+SPDX = re.compile(r"SPDX-License-Identifier:\s*(.*)", re.IGNORECASE)
+#: A template of so many words at most is a name rather than a wording; so many words before it may hold a negation.
+NAME_WORDS, BEFORE = 8, 4
+NEGATIONS = {"not", "no", "nor", "never", "isn", "aren", "without"}
 COMMENT = re.compile(r"^\s*(?:/\*+|\*+/|//+|#+|\*+|--+|;+|%+|!+|>+|<!--|dnl\b|REM\b)?\s*|\s*(?:\*/|-->)\s*$")
 
 # --- Fixed values: license, the words that name it, and a wording: public texts, headers, statements and names. ---
@@ -51,6 +56,14 @@ _MPL = "This Source Code Form is subject to the terms of the Mozilla Public Lice
 _MPL_END = " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
 
 
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {0} which is available at https://www.eclipse.org/legal/epl-{1}/"
+_EPL_1 = "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"
+_CDDL = 'The contents of this file are subject to the terms of the Common Development and Distribution License{0} (the "License"). You may not use this file except in compliance with the License.'
+_GFDL = "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version {0} or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."
+_WTFPL = "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"
+_OFL = "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is available with a FAQ at: https://openfontlicense.org"
+
+
 def _gnu() -> list[tuple[str, tuple[str, ...], str]]:
     out = []
     for short, kind, words, versions in (("GPL", "", ("gnu", "general"), ("2", "3")), ("LGPL", "Lesser ", ("lesser",), ("2.1", "3")), ("AGPL", "Affero ", ("affero",), ("3",))):
@@ -67,10 +80,12 @@ def _gnu() -> list[tuple[str, tuple[str, ...], str]]:
 
 def _named() -> list[tuple[str, tuple[str, ...], str]]:
     out = []
-    names = (("MIT", ("mit",), "MIT License"), ("ISC", ("isc",), "ISC License"), ("Apache-2.0", ("apache", "2.0"), "Apache License, Version 2.0"), ("BSD-3-Clause", ("bsd", "3-clause"), "BSD 3-Clause License"), ("BSD-2-Clause", ("bsd", "2-clause"), "BSD 2-Clause License"), ("MPL-2.0", ("mozilla", "2.0"), "Mozilla Public License, version 2.0"))
+    names = (("MIT", ("mit",), "MIT License"), ("ISC", ("isc",), "ISC License"), ("Apache-2.0", ("apache", "2.0"), "Apache License, Version 2.0"), ("BSD-3-Clause", ("bsd", "3-clause"), "BSD 3-Clause License"), ("BSD-2-Clause", ("bsd", "2-clause"), "BSD 2-Clause License"), ("MPL-2.0", ("mozilla", "2.0"), "Mozilla Public License, version 2.0"), ("EPL-2.0", ("eclipse", "2.0"), "Eclipse Public License 2.0"), ("EPL-1.0", ("eclipse", "1.0"), "Eclipse Public License 1.0"), ("Artistic-2.0", ("artistic", "2.0"), "Artistic License 2.0"), ("OFL-1.1", ("font", "1.1"), "SIL Open Font License, Version 1.1"), ("CDDL-1.0", ("distribution", "1.0"), "Common Development and Distribution License, version 1.0"), ("GFDL-1.3", ("documentation", "1.3"), "GNU Free Documentation License, version 1.3"))
     for license_id, needed, name in names:
         out += [(license_id, needed, f"{form}{name}") for form in ("Released under the ", "Licensed under the ", "This work is licensed under the ", "")]
         out.append((license_id, (license_id.lower(), "spdx-license-identifier"), f"SPDX-License-Identifier: {license_id}"))
+        out += [(license_id, (license_id.lower(), form.lower()), f"{form} under {license_id}") for form in ("Dual-licensed", "Licensed")]
+    out += [(x, (x.lower(), "spdx-license-identifier"), f"SPDX-License-Identifier: {x}") for x in ("Unlicense", "Zlib", "BSL-1.0", "WTFPL", "CDDL-1.1", "GFDL-1.3-or-later", "GFDL-1.3-only")]
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         out.append((f"CC-{kind}-4.0", (kind.lower(), "4.0"), f"Licensed under CC {kind} 4.0."))
         out.append((f"CC-{kind}-4.0", (f"cc-{kind.lower()}-4.0",), f"SPDX-License-Identifier: CC-{kind}-4.0"))
@@ -96,6 +111,18 @@ TEMPLATES = (
     ("Apache-2.0", ("apache", "2.0"), _APACHE.partition(" You may obtain")[0]),
     ("MPL-2.0", ("mozilla", "2.0"), _MPL + _MPL_END),
     ("MPL-2.0", ("mozilla", "2.0"), _MPL),
+    ("EPL-2.0", ("eclipse", "2.0"), _EPL.format("2.0", "2.0")),
+    ("EPL-2.0", ("eclipse", "v2.0"), _EPL.format("v2.0", "v20.html")),
+    ("EPL-2.0", ("eclipse", "2.0"), _EPL.format("2.0", "2.0").partition(" which is")[0]),
+    ("EPL-1.0", ("eclipse", "v1.0"), _EPL_1),
+    ("EPL-1.0", ("eclipse", "v1.0"), _EPL_1.partition(" which accompanies")[0].partition("reserved. ")[2]),
+    ("CDDL-1.0", ("development", "distribution", "1.0"), _CDDL.format(", Version 1.0 only")),
+    ("CDDL-1.0", ("development", "distribution", "license"), _CDDL.format("")),
+    ("GFDL-1.3-or-later", ("documentation", "1.3", "later"), _GFDL.format("1.3")),
+    ("GFDL-1.2-or-later", ("documentation", "1.2", "later"), _GFDL.format("1.2")),
+    ("WTFPL", ("fuck", "public"), _WTFPL),
+    ("WTFPL", ("fuck", "public"), "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("OFL-1.1", ("font", "1.1"), _OFL),
     ("CC0-1.0", ("cc0", "1.0"), "Dedicated to the public domain under CC0 1.0."),
     ("CC0-1.0", ("cc0-1.0",), "SPDX-License-Identifier: CC0-1.0"),
     *_gnu(),
@@ -107,6 +134,11 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+@lru_cache(maxsize=1)
+def known_ids() -> frozenset[str]:
+    return frozenset(name.lower() for name, _, _ in TEMPLATES)
+
+
 @lru_cache(maxsize=1)
 def _compressors() -> tuple:
     plain, own = zstandard.ZstdCompressor(level=9), []
@@ -147,11 +179,37 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, list[str],
     return lost, sum(len(x[2]) for x in inner), [f"{tag}:{' '.join(a)}>{' '.join(b)}" for tag, a, b in inner], first, last
 
 
+def operands(expression: str) -> list[str]:
+    """The licenses of an SPDX expression, in their order."""
+    out, exception = [], False
+    for x in re.findall(r"[A-Za-z0-9.+-]+", expression):
+        if x.upper() in ("OR", "AND", "WITH"):
+            exception = x.upper() == "WITH"
+        elif exception:
+            exception = False
+        elif not out or not x.islower():  # words of prose behind the tag
+            out.append(f"{x[:-1]}-or-later" if x.endswith("+") else x)
+    return out
+
+
+def choices(sentence: str) -> list[str]:
+    """A sentence that offers several licenses by their ids, as one sentence for each; none for any other sentence."""
+    m = re.search(r"\blicensed under (?:the )?(.+)", sentence, re.IGNORECASE)
+    ids = [x for x in re.split(r"\s*(?:[,/]|\bor\b|\band\b)\s*", m[1].strip(" .;:"))] if m else []
+    return [sentence[: m.start(1)] + x for x in ids] if len(ids) > 1 and all(x.lower() in known_ids() for x in ids) else []
+
+
 def pieces(text: str) -> list[tuple[int, str]]:
-    """(line, piece) of the whole text, empty lines left out."""
+    """(line, piece) of the whole text, empty lines left out; an SPDX expression, or a choice of ids, is a piece for each of its licenses."""
     out = []
     for n, line in enumerate(text.split("\n")):
+        if (tag := SPDX.search(line)) and (several := operands(COMMENT.sub("", tag[1]))) and (len(several) > 1 or "+" in tag[1]):
+            out += [(n, f"SPDX-License-Identifier: {x}") for x in several]
+            continue
         for sentence in re.split(r"(?<=[.;:]) +", COMMENT.sub("", line)):
+            if several := choices(sentence):
+                out += [(n, x) for x in several]
+                continue
             tokens = sentence.split()
             out += [(n, " ".join(tokens[i : i + PIECE_WORDS])) for i in range(0, len(tokens), PIECE_WORDS)]
     return out
@@ -198,6 +256,8 @@ def hits_in(block: str) -> tuple[tuple[str, int, int, str, int, int], ...]:
         w = wording(found, template)
         if w is None or w[0] > slack or w[1] > max(1, slack) or not set(needed) <= set(found[w[3] : w[4]]):
             continue
+        if len(template) <= NAME_WORDS and NEGATIONS & set(found[max(0, w[3] - BEFORE) : w[3]]):
+            continue
         if all(w[4] <= a or w[3] >= b for *_, a, b in out):
             out.append((name, saved, w[0] + w[1], "; ".join(w[2]), w[3], w[4]))
     return tuple(out)
