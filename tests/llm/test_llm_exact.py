@@ -313,6 +313,53 @@ def test_licenses():
     assert names("") == [] and names("copyright " * 5000) == []
 
 
+def every_license(text):
+    """Brute force: every template against every window of the words of each line of pieces; of overlapping finds the one of most words stays."""
+    whole = [w for _, p in licenses.pieces(text) for w in licenses.words(p)]
+    found = []
+    for name, needed, wording in licenses.TEMPLATES:
+        t = licenses.words(wording)
+        slack = licenses.SLACK * len(t)
+        for a in range(len(whole)):
+            for b in range(a + max(1, len(t) - int(slack)), min(len(whole), a + len(t) + max(1, int(slack))) + 1):
+                w = licenses.wording(whole[a:b], t)
+                if w and w[0] <= slack and w[1] <= max(1, slack) and (w[3], w[4]) == (0, b - a) and set(needed) <= set(whole[a:b]):
+                    if len(t) > licenses.NAME_WORDS or not licenses.NEGATIONS & set(whole[max(0, a - licenses.BEFORE) : a]):
+                        found.append((len(t) - w[0], -w[1], a, b, name))
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
+        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
+            kept.append(x)
+    return [x[4] for x in sorted(kept, key=lambda x: x[2])]
+
+
+CHOICES = {
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+    "// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) AND BSD-3-Clause": ["GPL-2.0-only", "MIT", "BSD-3-Clause"],
+    "/* SPDX-License-Identifier: GPL-2.0+ */": ["GPL-2.0-or-later"],
+    "Dual-licensed under MIT or Apache-2.0.": ["MIT", "Apache-2.0"],
+    "Licensed under MIT and ISC.": ["MIT", "ISC"],
+    "This is not the MIT License.": [],
+    "It was never released under the MIT License.": [],
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": ["EPL-2.0"],
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.": ["OFL-1.1"],
+    "Released under the Artistic License 2.0": ["Artistic-2.0"],
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.": ["GFDL-1.3-or-later"],
+    "Released under the MIT License.": ["MIT"],
+    "Choose the MIT License or the Apache License, Version 2.0 as you like.": ["MIT", "Apache-2.0"],
+    "The license of poets is well known to every reader of verse.": [],
+    "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+}
+
+
+@pytest.mark.parametrize("text", CHOICES)
+def test_licenses_equal_brute_force(text):
+    """Expressions, choices, negations and further licenses: what the ranking finds is what every template against every window gives."""
+    for shape in (text, f"First a line of prose.\n{text}\nThen another one of it.", f"{text}\n\n{text}"):
+        want = CHOICES[text] * (2 if shape.count(text) == 2 else 1)
+        assert names(shape) == want == every_license(shape), shape
+
+
 def wrapped(text, width, mark):
     return "\n".join(f"{mark}{line}" for line in textwrap.wrap(text, width))
 
