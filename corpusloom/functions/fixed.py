@@ -176,6 +176,8 @@ STEP_TRANSITIONS = {
     "invalidated": ("in_progress",),
 }
 PROMOTION_PATH = ("in_progress", "produced", "verified_deterministic", "promoted")
+ENDED = ("completed", "completed_with_exclusions", "expired")
+RUNTIME_ADAPTERS = {"claude_code": "claude_code", "codex": "codex"}
 RETENTION_DAYS = 30
 RESTART_FIELDS = ("adapter_versions", "artifact_schema_version", "tokenizer_version", "consent_policy_version")
 #: A changed field and the earliest step that it makes invalid.

@@ -89,12 +89,13 @@ def count_words(text: Column) -> Column:
 
 def classify_english(text: Column) -> Column:
     """struct(reason, english_text): the English share of a text, or null where it is quarantined."""
-    latin = fixed.latin_class()
-    odd = text.rlike(r"[\p{L}&&[^" + latin[1:] + "]")  # a letter that isn't Latin; texts without one need no counting
-    letters, latins = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(latin))
-    foreign = letters - latins
+    # The classes have hundreds of ranges: an ASCII character is settled before they are tried.
+    latin = "[A-Za-z]|(?=[^\\x00-\\x7F])" + fixed.latin_class()
+    other = r"(?=[^\x00-\x7F])[\p{L}&&[^" + fixed.latin_class()[1:] + "]"  # a letter that isn't Latin
+    odd = text.rlike(other)  # texts without one need no counting
+    letters, foreign = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(other))
     tokens = split_words(text)
-    has_foreign = lambda t: F.regexp_count(t, F.lit(r"\p{L}")) > F.regexp_count(t, F.lit(latin))
+    has_foreign = lambda t: t.rlike(other)
     mixes = F.exists(tokens, lambda t: has_foreign(t) & t.rlike(latin))
     rest = F.array_join(F.filter(tokens, lambda t: ~has_foreign(t)), " ")
     no_letters, no_ascii, plain, share, mixed, short, stripped = (F.lit(x) for x in fixed.REASONS)
@@ -193,3 +194,16 @@ def epoch_ms(value: Column, low: str = "2015-01-01", high: str = "2100-01-01") -
 def iso_timestamp(text: Column) -> Column:
     """An ISO timestamp, in the session's zone (UTC) where it names none; null if it is none."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.regexp_replace(text, r" ([+-]\d\d:?\d\d)$", "$1").try_cast("timestamp"))
+
+
+def plural(count: Column, singular: str, plural_form: str | None = None) -> Column:
+    """The noun that agrees with a count."""
+    return F.when(count == 1, singular).otherwise(plural_form or f"{singular}s")
+
+
+def and_list(items: Column) -> Column:
+    """An array for running prose: A; A and B; A, B, and C."""
+    n = F.size(items)
+    head = F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
+    last = F.try_element_at(items, F.lit(-1))
+    return F.when(n == 0, "").when(n == 1, last).when(n == 2, F.concat(head, F.lit(" and "), last)).otherwise(F.concat(head, F.lit(", and "), last))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .common import materialize
 
 
 def modality_counts(utterances: DataFrame, analyzed: Column) -> DataFrame:
@@ -44,16 +45,37 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of the values of each key: a column for each share.
+
+    Equal values are counted first; the counts lie in ranges of (key, value), and a value's place is the sum of the ranges before it and its own running sum. So the values of a
+    key are spread over many tasks, however many there are.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranged = materialize(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))  # a row for each key and range
+    whole = Window.partitionBy(*by)
+    places = parts.select(*by, "_part", (F.sum("_size").over(whole.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(whole).alias("_total"))
+    end = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy(value)) + F.col("_before")
+    placed = ranged.join(places, [*by, "_part"]).withColumn("_end", end).withColumn("_begin", F.col("_end") - F.col("_n"))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_total") - 1)
+        pick = lambda rank: F.max(F.when((F.col("_begin") <= rank) & (rank < F.col("_end")), F.col(value)))  # noqa: B023, E731
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        out.append((low + F.max(at - F.floor(at)) * (high - low)).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def robust_center(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and 90th percentile (linear) of the values within three median absolute deviations of the median."""
-    center = rows.groupBy(*by).agg(F.median(value).alias("center"))
+    center = percentiles(rows, by, value, {"center": 0.5})
     off = rows.join(center, by).withColumn("off", F.abs(F.col(value) - F.col("center")))
-    spread = off.groupBy(*by).agg(F.median("off").alias("mad"))
+    spread = percentiles(off, by, "off", {"mad": 0.5})
     kept = off.join(spread, by).withColumn("kept", F.col("off") <= fixed.MAD_CLAMP * F.col("mad"))
-    inside = F.when(F.col("kept"), F.col(value))
-    return kept.groupBy(*by).agg(
-        F.median(inside).alias("p50"), F.greatest(F.median(inside), F.percentile(inside, F.lit(0.9))).alias("p90"), F.count_if("kept").alias("records_used"), F.count_if(~F.col("kept")).alias("records_discarded")
-    )
+    inside = percentiles(kept.where("kept"), by, value, {"p50": 0.5, "p90": 0.9})
+    used = kept.groupBy(*by).agg(F.count_if("kept").alias("records_used"), F.count_if(~F.col("kept")).alias("records_discarded"))
+    return used.join(inside, by, "left").select(*by, "p50", F.greatest("p50", "p90").alias("p90"), "records_used", "records_discarded")
 
 
 def window_fraction(first: Column, last: Column, start: Column, end: Column) -> Column:

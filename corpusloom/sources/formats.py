@@ -58,3 +58,13 @@ API_HISTORY, HISTORY_ITEM, TASK_UI, LEGACY_UI = "api_conversation_history.json",
 QUOTA_WINDOWS = ("five_hour", "seven_day")
 QUOTA_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 QUOTA_AGE_LIMIT = 60 * 60
+
+# --- Session folders ---
+MESSAGES_SUFFIX = ".messages.json"
+MODE_NOTICE = r"(?s)<mode_notice>.*?</mode_notice>"
+USER_INPUT = r"(?s)<user_input\b[^>]*>(.*?)</user_input>"
+USER_COMMAND = "<user_command"
+COMPOSED_PREFIXES = ("System-delivered teammate async run updates:",)
+
+# --- Fingerprints ---
+HISTORY_REQUIRED = ("transcriptEntityId", "asrText", "timestamp", "status")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.dedup import first_of
 from . import formats, records
-from .records import VISIBLE, is_object, is_true, kind, present, string, strip
+from .records import VISIBLE, elements, is_array, is_object, is_true, kind, present, string, strip
 
 #: The most that one row of Spark's binary reader can hold.
 MOST_STORE_BYTES = (1 << 31) - 1 - 1024
@@ -147,6 +147,7 @@ def read_table(stores: DataFrame, table: str, columns: dict[str, str], where: st
 
 # --- Messages in parts: sessions, messages, parts ---
 
+GENERATIONS = ("sqlite", "json-j2", "json-j1")
 PART_STORE = {"session": ("id", "project_id", "parent_id", "time_created"), "message": ("id", "session_id", "time_created", "data"), "part": ("id", "message_id", "session_id", "data")}
 
 
@@ -189,6 +190,40 @@ def part_tree_messages(found: DataFrame) -> DataFrame:
     return messages.join(sessions, ["path", "session_id"]).join(joined_parts(parts, ["path", "message_id"]), ["path", "message_id"], "left").withColumn("generation", F.lit("json-j2"))
 
 
+def part_project_messages(found: DataFrame) -> DataFrame:
+    """The same from the oldest trees ``project/<slug>/storage/session/{info,message/<session>,part/<session>/<message>}/*.json``.
+
+    A message's parts are its files of parts if it has any, else those inside it; a message with neither is left out.
+    """
+    v, at = F.col("v"), lambda i: F.regexp_extract("path", r"^(.*)/project/([^/]+)/storage/session/(info|message|part)/(.*)\.json$", i)
+    docs = found.select(at(1).alias("root"), at(2).alias("slug"), at(3).alias("what"), F.split(at(4), "/").alias("names"), F.try_parse_json("value").alias("v")).where(is_object(v, "$"))
+    name = F.element_at("names", -1)
+    ident, role = F.nullif(string(v, "$.id"), F.lit("")), F.nullif(string(v, "$.role"), F.lit(""))
+    created = positive_ms(F.try_variant_get(v, "$.time.created", "double"))
+    sessions = docs.where((F.col("what") == "info") & name.startswith("ses_") & ident.startswith("ses_")).select("root", "slug", ident.alias("session_id"), F.nullif(string(v, "$.parentID"), F.lit("")).alias("parent_id"), string(v, "$.version").alias("version"))
+    messages = docs.where((F.col("what") == "message") & name.startswith("msg_")).select("root", "slug", F.coalesce(F.nullif(string(v, "$.sessionID"), F.lit("")), F.col("names")[0]).alias("session_id"), ident.alias("message_id"), role.alias("role"), created.alias("ts"), "v").where("message_id is not null and role is not null")
+    split = docs.where((F.col("what") == "part") & name.startswith("prt_")).select("root", "slug", F.col("names")[0].alias("session_id"), F.col("names")[1].alias("message_id"), F.coalesce(ident, name).alias("part_id"), "v")
+    keys = ["root", "slug", "session_id", "message_id"]
+    with_files = split.select(*keys).distinct().withColumn("split", F.lit(True))
+    rows = messages.join(with_files, keys, "left").where(F.col("split") | is_array(v, "$.parts"))
+    inline = rows.where("split is null").select(*keys, F.posexplode(elements(v, "$.parts")).alias("n", "v")).where(is_object(v, "$")).select(*keys, F.coalesce(F.nullif(string(v, "$.id"), F.lit("")), F.format_string("%s-inline-%03d", "message_id", "n")).alias("part_id"), "v")
+    parts = joined_parts(split.unionByName(inline), keys)
+    out = rows.drop("v", "split").join(sessions, ["root", "slug", "session_id"]).join(parts, keys, "left")
+    return out.select(F.concat_ws("/project/", "root", "slug").alias("path"), "session_id", "message_id", "role", "ts", F.col("slug").alias("project_key"), "parent_id", "version", "text", "part_ids", F.lit("json-j1").alias("generation"))
+
+
+def canonical_counts(messages: DataFrame) -> DataFrame:
+    """By project over the canonical copies (``coalesced``): records of any role, the versions that wrote them, and their range."""
+    out = coalesced(messages).where("project_key is not null").groupBy("project_key").agg(F.count("*").alias("records"), F.array_sort(F.collect_set("version")).alias("versions"))
+    few = F.when(F.size("versions") == 1, F.col("versions")[0]).when(F.size("versions") > 1, F.concat_ws("-", F.col("versions")[0], F.element_at("versions", -1)))
+    return out.withColumn("version_range", few)
+
+
+def instance_key(root: Column, project: Column) -> Column:
+    """One key for each root and project."""
+    return F.sha2(F.concat(root, F.lit("\0"), project), 256)
+
+
 def tree_gate(found: DataFrame) -> DataFrame:
     """Diagnostics of trees of which over a tenth of the files are no JSON objects."""
     root = F.regexp_extract("path", r"^(.*)/(?:session|message|part)/[^/]+/[^/]+\.json$", 1)
@@ -197,8 +232,8 @@ def tree_gate(found: DataFrame) -> DataFrame:
 
 
 def coalesced(messages: DataFrame) -> DataFrame:
-    """One copy of each (session, message) over generations: SQLite before trees; ``generation_text_mismatch`` if copies have other texts."""
-    rank = F.when(F.col("generation") == "sqlite", 0).otherwise(1)
+    """One copy of each (session, message) over generations: SQLite before trees, newer trees before older ones; ``generation_text_mismatch`` if copies have other texts."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, GENERATIONS)), F.col("generation")), F.lit(0))
     best = first_of(messages, ["session_id", "message_id"], [F.coalesce("text", F.lit("")) == "", rank, F.col("path")])
     texts = messages.where("text is not null").groupBy("session_id", "message_id").agg((F.count_distinct("text") > 1).alias("generation_text_mismatch"))
     return best.join(texts, ["session_id", "message_id"], "left").withColumn("generation_text_mismatch", F.coalesce("generation_text_mismatch", F.lit(False)))

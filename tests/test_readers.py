@@ -222,3 +222,96 @@ def test_changed_blocks_are_an_error(spark, tmp_path):
             rows.select("line_no", "line").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_session_folders_of_the_third_generation(spark, tmp_path):
+    def unit(name, doc, manifest=None, lead=True, others=()):
+        folder = tmp_path / "sessions" / name
+        folder.mkdir(parents=True)
+        if lead:
+            (folder / f"{name}.messages.json").write_text(doc if isinstance(doc, str) else json.dumps(doc))
+        if manifest is not None:
+            (folder / f"{name}.json").write_text(manifest if isinstance(manifest, str) else json.dumps(manifest))
+        for other in others:
+            (folder / f"{other}.messages.json").write_text(json.dumps({"version": 1, "messages": [said("another agent's")]}))
+
+    def said(*texts, **more):
+        return {"role": "user", "content": [{"type": "text", "text": t} if isinstance(t, str) else t for t in texts]} | more
+
+    body = lambda *messages, **k: {"version": 1, "messages": list(messages)} | k
+    result = {"type": "tool_result", "content": "x"}
+    unit("a", body(said("<user_input mode='x'> one\ntwo </user_input>", id="m1", ts=1714557600000), said("<mode_notice>act</mode_notice> bare"), said(result), said(result, "mixed"), said("<user_command>x</user_command> no"), said("  <environment_details>x", "<user_input>kept</user_input>"), said("System-delivered teammate async run updates: x"), {"role": "user", "content": "a string"}, {"role": "assistant", "content": [{"type": "text", "text": "no"}]}, said(" "), said("p1", "p2")), {"started_at": "2024-05-01T09:00:00Z"}, others=["helper"])
+    unit("old", body(said("x"), version=2))
+    unit("alone", body(said("x")), {"interactive": False})
+    unit("helper", body(said("x"), agent="helper"))
+    unit("lead", body(said("fine"), agent="lead", sessionId="lead"), "{")
+    unit("moved", body(said("x"), sessionId="other"))
+    unit("broken", "{")
+    unit("list", [])
+    unit("nomessages", {"version": 1})
+    unit("odd", body(*[said(f"x{i}") for i in range(8)], 7))
+    unit("fewodd", body(*[said(f"y{i}") for i in range(9)], 7))
+    unit("empty", body())
+    unit("missing", None, {"interactive": True}, lead=False)
+    unit("others", None, lead=False, others=["x"])
+    found = records.files(spark, str(tmp_path), "*.json")
+    from corpusloom.sources import sdk_sessions
+
+    status = {r.unit: (r.status, r.other_files) for r in sdk_sessions.units(found).collect()}
+    assert status == {"a": ("supported", 1), "old": ("unsupported", 0), "alone": ("excluded", 0), "helper": ("excluded", 0), "lead": ("supported", 0), "moved": ("excluded", 0), "broken": ("malformed", 0), "list": ("malformed", 0), "nomessages": ("malformed", 0), "odd": ("unsupported", 0), "fewodd": ("supported", 0), "empty": ("supported", 0), "missing": ("malformed", 0), "others": ("excluded", 1)}
+    rows = {}
+    for r in sdk_sessions.utterances(found).orderBy("record").collect():
+        rows.setdefault(r.unit, []).append((r.ref, r.text, r.text_status, r.confidence, r.ts.strftime("%H:%M")))
+    assert rows["a"] == [("m1", "one\ntwo", "verbatim", 0.9, "10:00"), ("m0002", "bare", "unknown", 0.7, "09:00"), ("m0006", "kept", "verbatim", 0.9, "09:00"), ("m0011", "p1\n\np2", "unknown", 0.7, "09:00")]
+    assert [x[1] for x in rows["lead"]] == ["fine"] and len(rows["fewodd"]) == 9 and set(rows) == {"a", "lead", "fewodd"}
+
+
+def test_oldest_trees(spark, tmp_path):
+    base = tmp_path / "project" / "web" / "storage" / "session"
+    docs = {
+        "info/ses_1": {"id": "ses_1", "version": "0.1"}, "info/ses_2": {"id": "ses_2", "parentID": "ses_1"}, "info/ses_3": {"id": "other"},
+        "message/ses_1/msg_1": {"id": "msg_1", "role": "user", "time": {"created": 1714557600000}, "parts": [{"type": "text", "text": "inline loses"}]},
+        "part/ses_1/msg_1/prt_2": {"id": "prt_2", "type": "text", "text": " second "}, "part/ses_1/msg_1/prt_1": {"id": "prt_1", "type": "text", "text": "first"}, "part/ses_1/msg_1/prt_3": {"type": "text", "text": "no", "ignored": True},
+        "message/ses_1/msg_2": {"id": "msg_2", "role": "user", "parts": [{"type": "text", "text": "b"}, {"type": "file"}, {"id": "a", "type": "text", "text": "a"}, 7]}, "message/ses_1/msg_3": {"id": "msg_3", "role": "user"}, "message/ses_1/msg_4": {"id": "msg_4", "parts": []},
+        "message/ses_2/msg_5": {"id": "msg_5", "role": "user", "sessionID": "ses_2", "parts": [{"type": "text", "text": "child"}]}, "message/ses_3/msg_6": {"id": "msg_6", "role": "user", "parts": [{"type": "text", "text": "no session"}]},
+    }
+    for name, doc in docs.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / f"{name}.json").write_text(json.dumps(doc))
+    rows = stores.part_project_messages(records.files(spark, str(tmp_path), "*.json"))
+    got = {r.message_id: (r.session_id, r.text, r.parent_id, r.project_key, r.ts and r.ts.hour) for r in rows.collect()}
+    assert got == {"msg_1": ("ses_1", "first\n\nsecond", None, "web", 10), "msg_2": ("ses_1", "a\n\nb", None, "web", None), "msg_5": ("ses_2", "child", "ses_1", "web", None)}
+    assert [r.message_id for r in stores.part_utterances(rows).orderBy("message_id").collect()] == ["msg_1", "msg_2"]
+    newer = rows.where("message_id = 'msg_1'").withColumn("generation", F.lit("json-j2")).withColumn("text", F.lit("newer"))
+    both = {r.message_id: (r.text, r.generation_text_mismatch) for r in stores.coalesced(rows.unionByName(newer)).collect()}
+    assert both["msg_1"] == ("newer", True) and both["msg_2"] == ("a\n\nb", False)
+    assert [(r.project_key, r.records, r.version_range) for r in stores.canonical_counts(rows).collect()] == [("web", 3, "0.1")]
+
+
+def test_files_of_a_run(spark, tmp_path):
+    from corpusloom.sources import run_files
+
+    for n in (1, 2, 9999, 10000):
+        (tmp_path / f"session-{n:04d}.jsonl").write_text("".join(json.dumps({"text": f"{n}.{i}"}) + "\n" for i in range(3)) + ("{broken\n" if n == 2 else ""))
+    (tmp_path / "session-7.jsonl").write_text('{"text": "no number of four digits"}\n')
+    rows, bad = run_files.sessions(spark, str(tmp_path), {"text": "string"})
+    assert [r.text for r in rows.orderBy("session_seq", "i").collect()] == [f"{n}.{i}" for n in (1, 2, 9999, 10000) for i in range(3)]
+    assert [(r.code, r.item_ref.rsplit("/", 1)[1]) for r in bad.collect()] == [("SCHEMA_INVALID_JSON", "session-0002.jsonl:4")]
+    docs = {"session-index.json": {"sessions": {"session-0001.jsonl": "h1", "session-0002.jsonl": 2}}, "a.drop.json": {"drop": [1, 3]}, "b.drop.json": {"drop": [0]}, "c.drop.json": {"other": 1}, "d.drop.json": [], "e.drop.json": "{", "f.drop.json": {"drop": ["x"]}, "profile.json": {"entries": [{"step": "c", "p50": 1.5}, {"step": "d", "p50": 2}]}}
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(doc if isinstance(doc, str) else json.dumps(doc))
+    files = lambda p: records.files(spark, str(tmp_path), p)
+    assert {(r.file_name, r.session_hash) for r in run_files.session_index(files("session-index.json")).collect()} == {("session-0001.jsonl", "h1"), ("session-0002.jsonl", "2")}
+    good, faults = run_files.drop_lists(files("*.drop.json"))
+    assert [r["drop"] for r in good.collect()] == [[1, 3]]
+    assert {(r.item_ref.rsplit("/", 1)[1][0], r.code) for r in faults.collect()} == {("b", "SCHEMA_INVALID_VALUE"), ("c", "SCHEMA_MISSING_FIELD"), ("d", "SCHEMA_INVALID_VALUE"), ("e", "SCHEMA_INVALID_JSON"), ("f", "SCHEMA_INVALID_VALUE")}
+    assert {tuple(r) for r in run_files.profile_entries(files("profile.json"), "step: string, p50: double").collect()} == {("c", 1.5), ("d", 2.0)}
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "events.jsonl").write_text('{"at": "2024-01-01T10:00:00+02:00", "kind": "artifact_promoted", "step_id": 2}\n{"at": "2024-01-01T10:00:00", "kind": "x"}\n\n{"at": "2024-01-01T10:00:00Z"}\n{"at": "2024-01-01T10:00:00Z", "kind": "x", "text": "no"}\n')
+    events, odd = run_files.event_log(spark, str(tmp_path))
+    assert [(r.kind, r.step_id, r["at"].hour) for r in events.collect()] == [("artifact_promoted", 2, 8)]
+    assert sorted((r.code, r.line_no) for r in odd.collect()) == [("SCHEMA_INVALID_VALUE", 1), ("SCHEMA_MISSING_FIELD", 3), ("SCHEMA_UNKNOWN_FIELD", 4)]
+    items = spark.createDataFrame([("w", json.dumps({"allComposers": [{"composerId": "a"}, {"composerId": "b", "messages": []}, 7, {"composerId": 3}]})), ("x", "{"), ("y", "[]")], "path string, value string")
+    assert sorted((r.composer_id or "", r.inline) for r in run_files.workspace_index(items).collect()) == [("", False), ("a", False), ("b", True)]
+    schema = run_files.json_schema(spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b, array(1.5D) AS c, named_struct('d', timestamp'2024-01-01') AS e").schema)
+    assert schema["required"] == ["a", "c", "e"] and schema["properties"]["b"]["type"] == ["string", "null"] and schema["properties"]["e"]["properties"]["d"] == {"type": "string", "format": "date-time"} and not schema["additionalProperties"]
