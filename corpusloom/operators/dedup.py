@@ -87,7 +87,7 @@ def bucketed_range_join(left: DataFrame, right: DataFrame, at: str, width: int,
 def _linked(ratio: float, window: int):
     """For one chunk of earlier rows (side 0) and one of later ones (side 1): the pairs that are nearly equal.
 
-    Lengths and times rule out most pairs, the profiles of 4-grams, made once for each row, most of the others; what is left is compared.
+    Lengths and times rule out most pairs, the profiles of short runs of characters, made once for each row, most of the others; what is left is compared.
     """
 
     def run(rows: pa.Table) -> pa.Table:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..operators.common import materialize
 from ..operators.states import Scan
 from . import editor_states
 from .formats import BUBBLE, BUBBLE_VERSION, COMPOSER, COMPOSER_VERSIONS, LEAKS, MALFORMED_SHARE, MISMATCH_SHARE, MISSING_SHARE, ODD_VERSION_SHARE, USER, VERBATIM_GATES
@@ -93,8 +94,8 @@ def _counters() -> Scan:
     )
 
 
-def facts(items: DataFrame) -> DataFrame:
-    """One row for each composer and for each bubble that an eligible one names, as ``store_scan`` counts them."""
+def facts(items: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """One row for each composer and for each bubble that an eligible one names, as ``store_scan`` counts them; ``rows``: what ``referenced`` has given, if it is there already."""
     found = composers(items)
     subs = found.select("path", F.explode("sub_ids").alias("composer_id")).distinct().withColumn("named", F.lit(True))
     current = F.col("class") == "current"
@@ -102,7 +103,7 @@ def facts(items: DataFrame) -> DataFrame:
         "path", "composer_id", F.lit("composer").alias("kind"), F.col("class").alias("what"), F.when(F.col("class").isin("current", "unsupported_version"), F.col("version")).alias("version"),
         (current & F.col("best_of_n")).alias("best_of_n"), (current & ~F.col("best_of_n") & F.col("named").isNotNull()).alias("sub"),
     )
-    rows = referenced(found, bubbles(items))
+    rows = referenced(found, bubbles(items)) if rows is None else rows
     own = rows.select("path", "composer_id", F.lit("bubble").alias("kind"), F.col("outcome").alias("what"), F.col("bubble_version").alias("version"), "gone", "gate", "text", "own_text", F.coalesce("ts", "created_at").alias("ts"), "flags")
     return heads.unionByName(own, allowMissingColumns=True)
 
@@ -130,6 +131,8 @@ def store_gate(items: DataFrame) -> DataFrame:
 
 def utterances(items: DataFrame) -> DataFrame:
     """The reconciled prompts of supported stores, less their mentions."""
-    gate = store_gate(items).where("supported").select("path")
-    rows = referenced(composers(items), bubbles(items)).where("outcome = 'kept' and not gone").where(F.col("gate").isin(*VERBATIM_GATES) & (strip(F.col("own_text")) != ""))
-    return rows.join(gate, "path").select("path", "composer_id", "bubble_id", "place", F.col("own_text").alias("text"), "gate", F.coalesce("ts", "created_at").alias("ts"), "flags")
+    # Written, as the verdict on a store and its texts both need the judged bubbles; a filter above their columns would write out all expressions again, too.
+    rows = materialize(referenced(composers(items), bubbles(items)), "bubbles")
+    gate = judged_scan(store_scan(facts(items, rows))).where("supported").select("path")
+    kept = rows.where("outcome = 'kept' and not gone").where(F.col("gate").isin(*VERBATIM_GATES) & (strip(F.col("own_text")) != ""))
+    return kept.join(gate, "path").select("path", "composer_id", "bubble_id", "place", F.col("own_text").alias("text"), "gate", F.coalesce("ts", "created_at").alias("ts"), "flags")
