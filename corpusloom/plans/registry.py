@@ -518,12 +518,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import audits, inventories, raw  # noqa: F401  they register their queries
+    from . import audits, databases, inventories, raw  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import audits, inventories, raw  # noqa: F401
+    from . import audits, databases, inventories, raw  # noqa: F401
 
     return dict(_SQL)
