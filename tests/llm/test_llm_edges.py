@@ -95,6 +95,49 @@ def test_values_of_odd_rows(spark):
     assert {r.n_words for r in quality.op9(docs).where("doc_id in (1, 2, 5)").collect()} == {0}
 
 
+def test_stored_values_of_odd_rows(spark):
+    """Sizes, checksums, encodings and scores of null, empty, repeated and long texts, row by row."""
+    import hashlib
+    import zlib
+
+    import sentencepiece
+
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    texts = sorted(((i, t or "", t is None) for i, t, *_ in rows()), key=repr)
+    by_row = lambda d, *columns: sorted((tuple(r) for r in d.select("doc_id", *columns).collect()), key=repr)
+    placed = by_row(resharding.op2(docs), "size", "text_crc32")
+    assert placed == sorted(((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t, _ in texts), key=repr)
+    shards = resharding.op2(docs).select("shard", "slot").collect()
+    assert all(sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards))) for s in {r.shard for r in shards}) and {r.shard for r in shards} <= set(range(40))
+    padded = lambda t: t.encode() + bytes(-len(t.encode()) % 64 if t else 64)
+    assert by_row(media.op3(docs), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(((i, len(t.encode()), len(padded(t)), hashlib.sha256(padded(t)).hexdigest(), zlib.crc32(padded(t)[-64:])) for i, t, _ in texts), key=repr)
+    lib = sentencepiece.SentencePieceProcessor(model_file=SPM)
+    ids = lambda t: [*lib.encode(t), lib.eos_id()]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert by_row(pieces.encode_table(docs, SPM), "n_tokens", "ids_sha256", "decoded_sha256") == sorted(((i, len(ids(t)), digest(" ".join(map(str, ids(t)))), digest(lib.decode(ids(t)))) for i, t, _ in texts), key=repr)
+    labels = spark.createDataFrame([(3, 1, 0), (4, 1, 1)], LABELS)
+    scores = toxicity.op8(docs, labels).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.n_passages >= 0 for r in scores)
+    assert len({(r.score, r.n_passages) for r in scores if r.doc_id in (1, 2, 5)}) == 1 and len({r.score for r in scores if r.doc_id == 3}) == 1
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in scores if r.doc_id is not None)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.op10(docs).collect()}
+    assert all(0 <= s <= 1 for _, s in found.values()) and found[3][0] in ("en", "fr", "de", "und")
+
+
+def test_very_long_texts(spark):
+    """One text of half a million words among short ones, for the operators that work on whole texts."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(500_000))
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, "t", "f", "k", 1, 1, 1, "h", "o", 1, 1, 1) for i, t in ((1, long), (2, "a b c"), (3, long[: len(long) // 2]))], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], LABELS)
+    assert {r.doc_id: r.n_words for r in quality.op9(docs).collect()} == {1: 500_000, 2: 3, 3: len(long[: len(long) // 2].split())}
+    assert toxicity.op8(docs, labels).count() == 3 and langid.op10(docs).count() == 3 and simhash.near_duplicates(docs).count() == 3
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.op5(docs).collect()}
+    half = len(long) // 2
+    assert cut[3] == (half, half) and cut[1] == (len(long), half) and cut[2] == (5, 0)
+
+
 def test_subpackage_is_not_imported_elsewhere():
     from pathlib import Path
 
