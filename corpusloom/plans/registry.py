@@ -157,7 +157,10 @@ def lookalike_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold_lookalikes(t), 256).alias("folded"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, n_chars * 997 AS t, n_chars * 61 // 60 AS m, source || '/' || doc_id AS p FROM documents)
+SELECT doc_id, CASE WHEN t >= 1000000000 THEN regexp_replace(printf('%.1f', t / 1e9), '\.0$', '') || 'B' WHEN t >= 1000000 THEN regexp_replace(printf('%.1f', t / 1e6), '\.0$', '') || 'M' WHEN t >= 1000 THEN CAST(round_even(t / 1000, 0) AS BIGINT) || 'K' ELSE CAST(t AS VARCHAR) END AS tokens,
+CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || CASE WHEN m = 1 THEN ' minute ago' ELSE ' minutes ago' END WHEN m < 1440 THEN (m // 60) || CASE WHEN m // 60 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE (m // 1440) || CASE WHEN m // 1440 = 1 THEN ' day ago' ELSE ' days ago' END END AS age,
+CASE WHEN regexp_matches(p, '^[A-Za-z0-9_.:-]{1,128}$') THEN p ELSE 'h' || substr(sha256(p), 1, 16) END AS id_part FROM d""")
 def format_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.format_tokens(F.col("n_chars") * 997).alias("tokens"), text.describe_age(F.col("n_chars") * 61).alias("age"), text.safe_id_part(F.concat_ws("/", "source", "doc_id")).alias("id_part"))
@@ -422,7 +425,22 @@ def recommended_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELL = {"judge_authorship": (198, 45.2, 2.0, 22439.0, 26105.5, 1200), "find_mistakes": (250, 21.5, 2.5, 23611.4, 37397.7, 1500), "confirm_confidentiality": (31, 120.0, 1.5, 68090.0, 97244.0, 900)}
 
 
-@query()
+def _step_sql(words: str, units: str, cell: str, per_call: int) -> tuple[str, str]:
+    """The p50 and p90 of one step as SQL."""
+    _, average, per_word, p50, p90, fixed_cost = _CELL[cell]
+    base = f"ceil({units} / {per_call}.0) * {fixed_cost}"
+    low = f"greatest({base}, ceil({units} * {p50}::DOUBLE + {base} + ({words} - {units} * {average}::DOUBLE) * {per_word}::DOUBLE))"
+    high = f"greatest({low}, ceil({units} * {p90}::DOUBLE + {base} + ({words} - {units} * {average}::DOUBLE) * {per_word}::DOUBLE))"
+    return f"CASE WHEN {units} = 0 THEN 0 ELSE {low} END", f"CASE WHEN {units} = 0 THEN 0 ELSE {high} END"
+
+
+_STEP_SQL = (_step_sql("words", "utterances", "judge_authorship", fixed.MESSAGES_PER_SESSION), _step_sql("kept", "analyzed", "find_mistakes", fixed.MESSAGES_PER_SESSION), _step_sql("confirmed", "sessions", "confirm_confidentiality", 1))
+
+
+@query(f"""WITH p AS (SELECT preset, CAST(sum(words) AS BIGINT) AS words, CAST(sum(utterances) AS BIGINT) AS utterances FROM ({_SHARES}) GROUP BY preset),
+u AS (SELECT *, ceil(utterances * {fixed.AUTHORED_UTTERANCE_RETENTION}::DOUBLE) AS analyzed, ceil(utterances / {fixed.MESSAGES_PER_SESSION}.0) AS sessions, round_even(words * {fixed.AUTHORED_WORD_RETENTION}::DOUBLE, 0) AS kept FROM p), s AS (SELECT *, round_even(sessions * {_CELL['confirm_confidentiality'][1]}::DOUBLE, 0) AS confirmed, utterances + analyzed + sessions AS total FROM u)
+SELECT preset, words, utterances, CAST({' + '.join(a for a, _ in _STEP_SQL)} AS BIGINT) AS p50_tokens, CAST(ceil(({' + '.join(b for _, b in _STEP_SQL)}) * {fixed.LOW_CONFIDENCE_WIDENING}::DOUBLE) AS BIGINT) AS p90_tokens, 'low' AS confidence,
+total * {fixed.SECONDS_PER_UNIT_LOW}::DOUBLE / 60 AS low_minutes, total * {fixed.SECONDS_PER_UNIT_HIGH}::DOUBLE / 60 * {fixed.LOW_CONFIDENCE_WIDENING}::DOUBLE AS high_minutes FROM s""")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and minutes of each preset from three profile cells."""
     per = _contributions(spark, sf_dir).groupBy("preset").agg(F.sum("words").alias("words"), F.sum("utterances").alias("utterances"))
