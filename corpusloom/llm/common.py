@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callabl
     return run
 
 
+def each_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, most_rows: int = 512, most_bytes: int = 8_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``each_batch``, over slices of few rows and bytes of ``column`` (binary); a row larger than the limit is a slice of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, begin, held = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()], 0, 0
+            for i, size in enumerate(sizes):
+                if i > begin and (i - begin == most_rows or held + size > most_bytes):
+                    yield fn(batch.slice(begin, i - begin))
+                    begin, held = i, 0
+                held += size
+            if begin < len(sizes):
+                yield fn(batch.slice(begin))
+
+    return run
+
+
 def utf8_list(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

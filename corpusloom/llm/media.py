@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch
+from .common import each_slice
 
 SIDE = 64
 MAX_ROWS = 8000
@@ -331,12 +331,10 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws = [x or b"" for x in batch.column("raw").to_pylist()]
-        media: list[bytes] = []
-        for lo in range(0, len(raws), 512):
-            media += encode_many([r + bytes(-len(r) % SIDE if r else SIDE) for r in raws[lo : lo + 512]])
+        media = encode_many([r + bytes(-len(r) % SIDE if r else SIDE) for r in raws])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(each_batch(run), "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(each_slice(run, "raw"), "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -344,19 +342,18 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, media = [], batch.column("media").to_pylist()
-        for lo in range(0, len(media), 512):
-            parsed = [parse(m) for m in media[lo : lo + 512]]
-            thumbs = iter(thumbnails([x for images in parsed for x in images]))
-            for m, images in zip(media[lo : lo + 512], parsed, strict=True):
-                own = [next(thumbs) for _ in images]
-                payload = b"".join(t.tobytes() for t in own)
-                feature = ";".join(f"{x.width}x{x.height}:{difference_hash(t)}" for x, t in zip(images, own, strict=True))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+        parsed = [parse(m) for m in media]
+        thumbs = iter(thumbnails([x for images in parsed for x in images]))
+        for m, images in zip(media, parsed, strict=True):
+            own = [next(thumbs) for _ in images]
+            payload = b"".join(t.tobytes() for t in own)
+            feature = ";".join(f"{x.width}x{x.height}:{difference_hash(t)}" for x, t in zip(images, own, strict=True))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return stored.mapInArrow(each_batch(run), FEATURES)
+    return stored.mapInArrow(each_slice(run, "media"), FEATURES)
 
 
 def op3(docs: DataFrame) -> DataFrame:
