@@ -52,10 +52,10 @@ def merged(a: Moments | None, b: Moments | None) -> Moments | None:
 
 
 def merged_sums(a: tuple | None, b: tuple | None) -> tuple | None:
-    """Exact sums by dimension, as Python integers, beside the moments."""
+    """Exact sums by dimension, as Python integers, and the largest absolute entry, beside the moments."""
     if a is None or b is None:
         return b if a is None else a
-    return [p + q for p, q in zip(a[0], b[0], strict=True)], merged(a[1], b[1])
+    return [p + q for p, q in zip(a[0], b[0], strict=True)], max(a[1], b[1]), merged(a[2], b[2])
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
@@ -101,17 +101,18 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
 
     def first(batch: pa.RecordBatch) -> tuple:
         x = integers(batch)
-        return [int(s) for s in x.sum(axis=0, dtype=np.int64)], moments(x.astype(np.float64))
+        most = int(np.abs(x).max())
+        sums = x.sum(axis=0, dtype=np.int64).tolist() if most * len(x) < 1 << 62 else [sum(c) for c in x.T.tolist()]
+        return sums, most, moments(x.astype(np.float64))
 
-    sums, (n, _, scatter) = summary(rows, first, merged_sums)
+    sums, most, (n, _, scatter) = summary(rows, first, merged_sums)
     values, axes = np.linalg.eigh(scatter / n)
     order = np.argsort(-values, kind="stable")[:components]
     trace, value, axes = float(values.sum()), values[order], axes[:, order]
     sound = value > RANK * max(float(values.max()), 0.0)
     scale = np.where(sound, 1 / np.sqrt(np.where(sound, value, 1.0)), 0.0)
     total = np.array(sums, dtype=object)
-    # int64 holds n * x - S wherever the contract's own long holds the squares' sum.
-    small = n * max(map(abs, sums)) < 1 << 62
+    small = n * most < 1 << 61  # then n * x, S and their difference are longs
 
     def differences(x: np.ndarray) -> np.ndarray:
         return x * n - total.astype(np.int64) if small else x.astype(object) * n - total
@@ -132,11 +133,13 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     k = len(value)
 
     def deviations(x: np.ndarray) -> pa.Array:
+        """The exact sums of squares: in longs where they surely fit, null where they surely don't, in Python's integers between."""
         d = differences(x)
-        if small and float(np.abs(d).max(initial=0)) ** 2 * width < 2.0**62:
+        about = (d.astype(np.float64) ** 2).sum(axis=1)
+        if small and (about < 2.0**62).all():
             return pa.array((d * d).sum(axis=1), pa.int64())
-        exact = [sum(int(v) ** 2 for v in row) for row in d.tolist()]
-        return pa.array([v if v < 1 << 63 else None for v in exact], pa.int64())
+        exact = [sum(int(v) ** 2 for v in row) if a < 2.0**64 else None for a, row in zip(about.tolist(), d.tolist(), strict=True)]
+        return pa.array([v if v is not None and v < 1 << 63 else None for v in exact], pa.int64())
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
