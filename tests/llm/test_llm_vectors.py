@@ -192,6 +192,20 @@ def test_merged_moments_are_those_of_the_whole(parts):
     assert whitening.merged(None, None) is None
 
 
+def test_deviations_beyond_a_long(spark):
+    """Sums that a long can't hold are null, all others exact, also where the products are beyond a long."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(v)) for v in (rng.standard_normal(3) * (1e15 if i == 0 else 1e4))], 0) for i in range(200)]
+    x = np.array([[int(np.floor(64 * np.float64(np.float32(c)))) + 1_000_000 for c in v] for _, v, _ in rows], dtype=object)
+    sums = x.sum(axis=0)
+    want = {i: sum(int(200 * a - s) ** 2 for a, s in zip(row, sums, strict=True)) for i, row in enumerate(x.tolist())}
+    out = {r.vec_id: (r.deviation, r.identity_error) for r in whitening.whiten(frame(spark, rows)).collect()}
+    assert {i: d for i, (d, _) in out.items()} == {i: w if w < 1 << 63 else None for i, w in want.items()}
+    assert out[0][0] is None and max(e for _, e in out.values()) < 1e-4
+    small = [(i, v, lab) for i, v, lab in rows if i]
+    assert all(r.deviation is not None for r in whitening.whiten(frame(spark, small)).collect())
+
+
 def test_whitening_without_variance(spark):
     out = whitening.whiten(frame(spark, [(1, [1.0, 2.0], 0), (2, [3.0, 2.0], 0)])).orderBy("vec_id", "component").collect()
     assert [(r.component, None if r.whitened is None else round(abs(r.whitened), 9), round(r.explained, 9), r.identity_error < 1e-9) for r in out] == [(1, 1.0, 1.0, True), (2, None, 0.0, True)] * 2
