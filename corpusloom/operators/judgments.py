@@ -79,3 +79,14 @@ def file_set_difference(left: DataFrame, right: DataFrame, name: str) -> DataFra
     """Names on one side only, with the side."""
     a, b = left.select(name).distinct().withColumn("l", F.lit(1)), right.select(name).distinct().withColumn("r", F.lit(1))
     return a.join(b, name, "full_outer").where("l is null or r is null").select(name, F.when(F.col("l").isNull(), "right_only").otherwise("left_only").alias("side"))
+
+
+def promoted_records(records: DataFrame, faults: DataFrame) -> DataFrame:
+    """The records of the runs without any fault: a step's records are promoted all or none. Both with ``run_id``."""
+    return records.join(faults.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def verification_weights(records: DataFrame) -> DataFrame:
+    """By session the records to be verified and their words, the weights by which sessions are dealt to batches."""
+    own = text.count_words(F.concat_ws(" ", "mistake", "rule", "example"))
+    return records.groupBy("session_seq").agg(F.count("*").alias("records"), F.sum(own).alias("words"))

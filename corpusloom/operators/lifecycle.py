@@ -69,3 +69,9 @@ def promotion_guard(steps: DataFrame, last: Column) -> DataFrame:
 
 def legal_steps(spark) -> DataFrame:
     return transitions(spark, fixed.STEP_TRANSITIONS)
+
+
+def step_targets(legal: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, from_status, to_status): the legal transitions of each step; one that needs a second reader (``semantic``) isn't promoted straight from the deterministic check."""
+    jump = (F.col("from_status") == "verified_deterministic") & (F.col("to_status") == "promoted")
+    return legal.join(F.broadcast(steps), F.col("step").isNotNull()).where(~(jump & F.col("semantic"))).select("step", "from_status", "to_status")  # a handful of steps

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENERATION = "generation"
+#: Up to so many generations in force are named to the reader, which then leaves out the files of all others.
+MOST_GENERATIONS = 1000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,12 +49,15 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 
 def read(spark: SparkSession, path: str, schema: str, key: str, version: int | None = None, form: str = "json") -> DataFrame:
-    """The live rows: ``schema`` without the key, then the key. Partitions that the manifest doesn't name are pruned by the join."""
+    """The live rows: ``schema`` without the key, then the key."""
     live = manifest(spark, path, version)
     if live is None or live.isEmpty():
         return spark.createDataFrame([], schema).withColumn(key, F.lit(None).cast("bigint" if live is None else live.schema[key].dataType))
     kind = live.schema[key].dataType.simpleString()
     rows = spark.read.schema(f"{schema}, {GENERATION} string, {key} {kind}").format(form).load(f"{path}/data")
+    in_force = [r[0] for r in live.select(GENERATION).distinct().limit(MOST_GENERATIONS + 1).collect()]
+    if len(in_force) <= MOST_GENERATIONS:
+        rows = rows.where(F.col(GENERATION).isin(in_force))  # the files of others aren't read
     return rows.join(live, [key, GENERATION], "left_semi").drop(GENERATION)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import inventories
-from ..sources import formats, sdk_sessions, stores, transcripts
+from ..operators import inventories, judgments, lifecycle
+from ..sources import composers, fingerprints, formats, sdk_sessions, stores, transcripts
 from .raw import _turns, sql_strip
 from .registry import query, sql_count_words
 from .tables import CONVERSATIONS, START, conversation_utterances, table
@@ -224,3 +224,61 @@ def live_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = inventories.reusable(rows).withColumn("now", inventories.live_versions(F.col("recorded"), {"a": "2", "b": "1", "x": "3"}))
     shown = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return live.select("doc_id", shown("now").alias("live"), (shown("now") != shown("recorded")).alias("changed"))
+
+
+# --- Fingerprints and plans ---
+
+
+@query("SELECT event_id, concat_ws(';', CASE WHEN event_id % 2 = 0 THEN 'input' ELSE 'chat' END, ['none', 'lf', 'crlf', 'mixed'][event_id % 4 + 1], CASE WHEN event_id % 3 > 0 THEN 'ts-parse-errors' END, CASE WHEN event_id % 5 = 0 THEN 'ts-degraded' END) AS fingerprint FROM events")
+def history_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    ends = F.element_at(F.array(*map(F.lit, ("none", "lf", "crlf", "mixed"))), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", fingerprints.history(F.when(k % 2 == 0, "input").otherwise("chat"), ends, k % 3, k % 5 == 0).alias("fingerprint"))
+
+
+@query("""WITH f AS (SELECT user_id AS instance, event_id % 7 <> 0 AS ok, CASE WHEN user_id % 3 = 0 THEN 'jsonl' WHEN event_id % 2 = 0 THEN 'json' ELSE 'jsonl' END AS g, event_id % 5 = 0 AS d, user_id % 4 = 0 AS n, false AS k, user_id % 2 = 0 AS s, event_id % 11 = 0 AS c FROM events)
+SELECT instance, concat_ws('+', CASE count(DISTINCT g) FILTER (ok) WHEN 0 THEN 'empty' WHEN 1 THEN min(g) FILTER (ok) ELSE 'mixed' END, CASE WHEN bool_or(ok AND d) THEN 'display' END, CASE WHEN bool_or(ok AND n) THEN 'notices' END, CASE WHEN bool_or(ok AND k) THEN 'kind' END, CASE WHEN bool_or(s) THEN 'subagent-dirs' END, CASE WHEN bool_or(c) THEN 'checkpoints' END) AS fingerprint FROM f GROUP BY instance""")
+def chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, u = F.col("event_id"), F.col("user_id")
+    files = table(spark, sf_dir, "events").select(u.alias("instance"), (k % 7 != 0).alias("supported"), F.when(u % 3 == 0, "jsonl").when(k % 2 == 0, "json").otherwise("jsonl").alias("generation"), (k % 5 == 0).alias("display"), (u % 4 == 0).alias("notices"), F.lit(False).alias("kind"), (u % 2 == 0).alias("subagent_dirs"), (k % 11 == 0).alias("checkpoints"))
+    return fingerprints.chats(files)
+
+
+@query("SELECT 's' || conv_id % 3 AS path, 'g1+g4;composer_v=12;bubble_v=3' AS fingerprint FROM conversations GROUP BY 1")
+def composer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audits import _composer_items
+
+    scans = composers.store_scan(composers.facts(_composer_items(spark, sf_dir)))
+    return fingerprints.composers(scans.withColumns({"g1": F.lit(True), "g2": F.lit(False), "g5": F.lit(False)}))
+
+
+@query("SELECT 'db' || conv_id % 11 AS path, CASE conv_id % 11 % 3 WHEN 0 THEN 'history-2024/opt3of8/' || CASE WHEN conv_id % 11 = 3 THEN 'mig7' ELSE 'mig-none' END || '/extra1+1' WHEN 1 THEN 'unsupported:missing-required' ELSE 'unsupported:no-history' END AS fingerprint FROM conversations GROUP BY conv_id % 11")
+def dictation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure of made stores: whole, without a required column, without a history."""
+    rows = table(spark, sf_dir, "conversations").select(F.pmod("conv_id", F.lit(11)).alias("k")).distinct()
+    shapes = {0: {"History": ("transcriptEntityId", "asrText", "timestamp", "status", "app", "numWords"), "Notes": ("a",), "secret": ("b",), "SequelizeMeta": ("name",)}, 1: {"History": ("transcriptEntityId",)}, 2: {"Other": ("a",)}}
+    found = spark.createDataFrame([(k, t, c) for k, tables in shapes.items() for t, columns in tables.items() for c in columns], "shape long, tbl string, col string")
+    steps = spark.createDataFrame([("db3", 7)], "path string, n long")
+    return fingerprints.dictation(rows.join(F.broadcast(found), F.col("k") % 3 == F.col("shape")).select(F.concat(F.lit("db"), "k").alias("path"), "tbl", "col"), steps)  # the columns of three shapes
+
+
+@query("SELECT doc_id, source AS run_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 5)")
+def promoted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the runs of which no record is at fault."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("run_id"))
+    return judgments.promoted_records(d, d.where("doc_id % 97 = 5")).select("doc_id", "run_id")
+
+
+@query(f"SELECT conv_id AS session_seq, CAST(count(*) AS BIGINT) AS records, CAST(sum({sql_count_words('joined')}) AS BIGINT) AS words FROM (SELECT conv_id, concat_ws(' ', role, 'a rule', coalesce(text, '')) AS joined FROM conversations) GROUP BY conv_id")
+def verification_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_seq"), F.col("role").alias("mistake"), F.lit("a rule").alias("rule"), F.coalesce("text", F.lit("")).alias("example"))
+    return judgments.verification_weights(rows)
+
+
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, t in fixed.STEP_TRANSITIONS.items() for b in t)
+
+
+@query(f"SELECT r_regionkey AS step, a AS from_status, b AS to_status FROM region, (VALUES {_LEGAL}) v(a, b) WHERE NOT (r_regionkey % 2 = 1 AND a = 'verified_deterministic' AND b = 'promoted')")
+def step_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("step"), (F.col("r_regionkey") % 2 == 1).alias("semantic"))
+    return lifecycle.step_targets(lifecycle.legal_steps(spark), steps)

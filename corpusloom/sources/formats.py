@@ -67,4 +67,6 @@ USER_COMMAND = "<user_command"
 COMPOSED_PREFIXES = ("System-delivered teammate async run updates:",)
 
 # --- Fingerprints ---
-HISTORY_REQUIRED = ("transcriptEntityId", "asrText", "timestamp", "status")
+HISTORY_REQUIRED = ("transcriptEntityId", "asrText", "timestamp")
+HISTORY_OPTIONAL = ("app", "language", "conversationId", "status", "isArchived", "appVersion", "numWords", "duration")
+KNOWN_EXTRA_TABLES = ("dictionary", "polish", "notes", "note_versions", "note_images", "meetings", "meeting_versions", "calendar_events", "links", "snippets", "notifications", "remotenotifications")

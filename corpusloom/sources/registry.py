@@ -118,7 +118,7 @@ ADAPTERS = {
     "gemini_cli": Adapter(("*.jsonl", "*.json"), _chats, _oversize("*.json", formats.CHAT_DOCUMENT_BYTES)),
     "opencode": Adapter(("*.db", "*.json"), _parts, _store_faults("*.db", stores.PART_STORE)),
     "roo_code": Adapter((f"*/{formats.API_HISTORY}", f"*/{formats.HISTORY_ITEM}", f"*/{formats.TASK_UI}"), _task_trees, _task_faults),
-    "wispr_flow": Adapter(("*.sqlite",), _dictations, _store_faults("*.sqlite", {"History": ("transcriptEntityId", "asrText", "timestamp", "status")})),
+    "wispr_flow": Adapter(("*.sqlite",), _dictations, _store_faults("*.sqlite", {"History": formats.HISTORY_REQUIRED})),
 }
 
 
