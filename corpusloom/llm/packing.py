@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import each_batch, materialize, text_list
 
 WINDOW = 2048
-MEMO = 500_000
+MEMO = 1_000_000
 #: Rows that share one task when ranks are counted.
 BUCKET_ROWS = 100_000
 #: A blank between blanks, or a final one after a blank: there, words don't part at each blank.
@@ -76,33 +76,28 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end = int(end_id).to_bytes(4, "little")
         out: list[bytes | None] = [None] * len(texts)
-        whole, late = [], []
-        get = self.memo.get
+        whole, split, heads, tails = [], [], set(), set()
         for k, text in enumerate(texts):
             if UNEVEN.search(text) or any(s in text for s in self.special):
                 whole.append(k)
                 continue
-            words = text.split(" ")
-            coded = list(map(get, words))
-            coded[0] = self.first.get(words[0])
-            if None in coded:
-                late.append((k, words, coded))
-            else:
-                out[k] = b"".join(coded) + end
-        if late:
-            heads = list({w[0] for _, w, c in late if c[0] is None})
-            tails = list({w for _, words, coded in late for w, c in zip(words[1:], coded[1:], strict=True) if c is None})
-            head = dict(zip(heads, self._ids(heads), strict=True))
-            tail = dict(zip(tails, self._word_ids(tails), strict=True))
-            for k, words, coded in late:
-                first = coded[0] if coded[0] is not None else head[words[0]]
-                out[k] = first + b"".join([tail[w] if c is None else c for w, c in zip(words[1:], coded[1:], strict=True)]) + end
-            for memo, found in ((self.first, head), (self.memo, tail)):
-                if len(memo) + len(found) <= MEMO:
-                    memo.update(found)
-        if whole:
-            for k, coded in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-                out[k] = coded + end
+            head, *words = text.split(" ")
+            split.append((k, head, words))
+            if head not in self.first:
+                heads.add(head)
+            tails |= set(words).difference(self.memo)
+        new = ((self.first, list(heads), self._ids), (self.memo, list(tails), self._word_ids))
+        for memo, found, ids in new:
+            memo.update(zip(found, ids(found), strict=True))
+        of = self.memo.__getitem__
+        for k, head, words in split:
+            out[k] = b"".join([self.first[head], *map(of, words), end])
+        for memo, found, _ in new:
+            if len(memo) > MEMO:  # full: the words of this call go again
+                for w in found:
+                    del memo[w]
+        for k, coded in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = coded + end
         return out
 
 
