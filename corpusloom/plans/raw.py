@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..operators import collect, verification
 from ..sources import histories, records, stores, tasks, transcripts
 from .registry import WS, _lit, query, sql_count_words, sql_reason
