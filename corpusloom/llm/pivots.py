@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .vectors import BLOCK_ROWS, CHUNK, GROUP_ROWS, NONE, Best, id_keys, id_or_null, integer_vectors, matrix, packed, ranked, searched, unpacked, without_own
+from .vectors import BLOCK_ROWS, CHUNK, GROUP_ROWS, Best, id_keys, id_or_null, integer_vectors, matrix, packed, ranked, searched, unpacked, without_own
 
 SCALE, EVERY, TOP = 256, 50, 5
 #: The index is fitted on so many rows at most, to so many pivots.
