@@ -116,6 +116,7 @@ LOOKALIKES = (
 
 # --- Fixed values: packages. ---
 VERSION_FIELDS = ("client_version", "producer_version", "privacy_verifier_version")
+WITHHELD_REASONS = ("WITHHELD_BY_USER", "WITHHELD_PRIVACY_UNSAFE", "WITHHELD_PROCESSING_FAILED")
 VERSION_PATTERN = r"\A[0-9]+(\.[0-9]+)*\z"
 
 # --- Fixed values: agent batches. ---

@@ -108,3 +108,48 @@ def package_against_review(rows: DataFrame, head: DataFrame, reviewed: DataFrame
         differ = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in counts.columns])
         out = out.unionByName(one.where(differ).select(F.lit("SUBMISSION_COUNT_MISMATCH").alias("code"), F.lit("counts").alias("item_ref")))
     return out
+
+
+#: Counts of a run that its modalities partition.
+PARTITIONED = ("eligible_words", "analyzed_words", "eligible_utterances", "analyzed_utterances")
+COUNT_COLUMNS = (*PARTITIONED, "written", "spoken_asr", "verified_total_mistakes", "shared_mistakes", "withheld_by_user", "withheld_for_privacy", "other_withheld")
+
+
+def audit_counts(modalities: DataFrame, records: DataFrame) -> DataFrame:
+    """One row for each run: the totals of its modalities, which stay beside them as structs, and its mistakes by what became of them.
+
+    ``modalities``: run_id, modality (written or spoken_asr) and the four counts; ``records``: run_id, fate (shared, user, privacy, or another reason's code).
+    """
+    part = lambda m: F.struct(*[F.coalesce(F.sum(F.when(F.col("modality") == m, F.col(c))), F.lit(0)).alias(c) for c in PARTITIONED]).alias(m)
+    counted = modalities.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in PARTITIONED], part("written"), part("spoken_asr"))
+    fates = records.groupBy("run_id", "fate").agg(F.count("*").alias("n"))
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("fate") == name, F.col("n"))), F.lit(0))
+    others = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("fate").isin("shared", "user", "privacy"), F.struct("fate", "n")))))  # a few codes
+    mistakes = fates.groupBy("run_id").agg(F.sum("n").alias("verified_total_mistakes"), of("shared").alias("shared_mistakes"), of("user").alias("withheld_by_user"), of("privacy").alias("withheld_for_privacy"), others.alias("other_withheld"))
+    out = counted.join(mistakes, "run_id", "left").na.fill(0, ["verified_total_mistakes", "shared_mistakes", "withheld_by_user", "withheld_for_privacy"])
+    return out.withColumn("other_withheld", F.coalesce("other_withheld", F.create_map().cast("map<string,bigint>"))).select("run_id", *COUNT_COLUMNS)
+
+
+def audit_violations(counts: DataFrame, reasons: tuple[str, ...] = fixed.WITHHELD_REASONS) -> DataFrame:
+    """(run_id, invariant) of every broken rule: mistakes that don't add up, more analyzed than eligible, modalities that don't sum to the whole, negative counts, unknown reasons."""
+    other = F.aggregate(F.map_values("other_withheld"), F.lit(0).cast("long"), lambda a, n: a + n)
+    kept = F.col("shared_mistakes") + F.col("withheld_by_user") + F.col("withheld_for_privacy") + other
+    rules = {"mistakes": kept == F.col("verified_total_mistakes"), "words_bounded": F.col("analyzed_words") <= F.col("eligible_words"), "utterances_bounded": F.col("analyzed_utterances") <= F.col("eligible_utterances")}
+    rules |= {f"partition_{c}": F.col(f"written.{c}") + F.col(f"spoken_asr.{c}") == F.col(c) for c in PARTITIONED}
+    plain = [c for c in COUNT_COLUMNS if c not in ("written", "spoken_asr", "other_withheld")]
+    rules["not_negative"] = reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in plain]) & ~F.exists(F.map_values("other_withheld"), lambda n: n < 0)
+    rules["known_reasons"] = F.size(F.array_except(F.map_keys("other_withheld"), F.array(*map(F.lit, reasons)))) == 0
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    return counts.select("run_id", F.explode(broken).alias("invariant"))
+
+
+def submission_counts(counts: DataFrame) -> DataFrame:
+    """What of a run's counts goes into its package; runs with a broken rule have none."""
+    return counts.join(audit_violations(counts).select("run_id").distinct(), "run_id", "left_anti").select("run_id", *COUNT_COLUMNS)
+
+
+def not_counted(index: DataFrame, removed: DataFrame) -> DataFrame:
+    """By run what its counts leave out: utterances of quarantined sessions, and duplicates removed; ``index``: run_id, quarantined_utterances; ``removed``: run_id, session_seq, ids (an array)."""
+    quarantined = index.groupBy("run_id").agg(F.sum("quarantined_utterances").alias("unjudged"))
+    gone = removed.groupBy("run_id").agg(F.sum(F.size("ids")).alias("duplicates_removed"))
+    return quarantined.join(gone, "run_id", "full_outer").na.fill(0, ["unjudged", "duplicates_removed"])

@@ -362,3 +362,47 @@ def records_after_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = d.groupBy("session_seq").count()
     drops = most.select("session_seq", F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("count").cast("int")), F.lit(4)).alias("drop"))
     return judgments.drop_records(d, drops).select("doc_id", "session_seq")
+
+
+# --- Audit counts ---
+
+
+def _audit_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts by run and modality, and records by what became of them."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 17).cast("long").alias("run_id"), F.when(F.col("conv_id") % 5 == 0, "spoken_asr").otherwise("written").alias("modality"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("w"), (F.col("turn") % 3 != 0).alias("a"))
+    parts = c.groupBy("run_id", "modality").agg(F.sum("w").alias("eligible_words"), F.coalesce(F.sum(F.when(F.col("a"), F.col("w"))), F.lit(0)).alias("analyzed_words"), F.count("*").alias("eligible_utterances"), F.count_if("a").alias("analyzed_utterances"))
+    fates = F.array(*map(F.lit, ("shared", "shared", "user", "privacy", "WITHHELD_PROCESSING_FAILED")))
+    records = table(spark, sf_dir, "documents").select((F.col("doc_id") % 17).alias("run_id"), fates[(F.col("doc_id") % 5).cast("int")].alias("fate"))
+    return parts, records
+
+
+_AUDIT = """c AS (SELECT CAST(conv_id % 17 AS BIGINT) AS run_id, conv_id % 5 = 0 AS spoken, length(coalesce(text, '')) AS w, turn % 3 <> 0 AS a FROM conversations),
+t AS (SELECT run_id, CAST(sum(w) AS BIGINT) AS eligible_words, CAST(coalesce(sum(w) FILTER (a), 0) AS BIGINT) AS analyzed_words, CAST(count(*) AS BIGINT) AS eligible_utterances, CAST(count(*) FILTER (a) AS BIGINT) AS analyzed_utterances, CAST(coalesce(sum(w) FILTER (spoken AND a), 0) AS BIGINT) AS spoken_analyzed_words FROM c GROUP BY run_id),
+m AS (SELECT doc_id % 17 AS run_id, CAST(count(*) AS BIGINT) AS verified_total_mistakes, CAST(count(*) FILTER (doc_id % 5 < 2) AS BIGINT) AS shared_mistakes, CAST(count(*) FILTER (doc_id % 5 = 2) AS BIGINT) AS withheld_by_user, CAST(count(*) FILTER (doc_id % 5 = 3) AS BIGINT) AS withheld_for_privacy, CAST(count(*) FILTER (doc_id % 5 = 4) AS BIGINT) AS other FROM documents GROUP BY 1)"""
+
+
+@query(f"WITH {_AUDIT} SELECT run_id, eligible_words, analyzed_words, eligible_utterances, analyzed_utterances, spoken_analyzed_words, coalesce(verified_total_mistakes, 0) AS verified_total_mistakes, coalesce(shared_mistakes, 0) AS shared_mistakes, coalesce(withheld_by_user, 0) AS withheld_by_user, coalesce(withheld_for_privacy, 0) AS withheld_for_privacy, coalesce(other, 0) AS other FROM t LEFT JOIN m USING (run_id) WHERE run_id % 4 <> 1 OR eligible_words = 0")
+def submission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of runs that hold to every rule; of every fourth run the total of words is one too many."""
+    whole = review.audit_counts(*_audit_parts(spark, sf_dir))
+    bent = whole.withColumn("eligible_words", F.col("eligible_words") + F.when((F.col("run_id") % 4 == 1) & (F.col("eligible_words") > 0), 1).otherwise(0))
+    out = review.submission_counts(bent)
+    return out.select("run_id", *review.PARTITIONED, F.col("spoken_asr.analyzed_words").alias("spoken_analyzed_words"), "verified_total_mistakes", "shared_mistakes", "withheld_by_user", "withheld_for_privacy", F.coalesce(F.try_element_at("other_withheld", F.lit("WITHHELD_PROCESSING_FAILED")), F.lit(0).cast("long")).alias("other"))
+
+
+@query(f"""WITH {_AUDIT} SELECT run_id, unnest(CASE run_id % 5 WHEN 0 THEN ['mistakes'] WHEN 1 THEN ['words_bounded', 'partition_analyzed_words'] WHEN 2 THEN ['partition_eligible_utterances'] WHEN 3 THEN ['known_reasons'] ELSE [] END) AS invariant FROM t""")
+def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of counts that were bent in four ways."""
+    k = F.col("run_id") % 5
+    whole = review.audit_counts(*_audit_parts(spark, sf_dir))
+    bent = whole.withColumn("shared_mistakes", F.col("shared_mistakes") + F.when(k == 0, 1).otherwise(0)).withColumn("analyzed_words", F.when(k == 1, F.col("eligible_words") + 1).otherwise(F.col("analyzed_words"))).withColumn("eligible_utterances", F.col("eligible_utterances") + F.when(k == 2, 1).otherwise(0))
+    bent = bent.withColumn("other_withheld", F.when(k == 3, F.map_concat("other_withheld", F.create_map(F.lit("WHIM"), F.lit(0).cast("long")))).otherwise(F.col("other_withheld")))
+    return review.audit_violations(bent)
+
+
+@query("""WITH q AS (SELECT conv_id % 17 AS run_id, count(*) AS n FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1), r AS (SELECT doc_id % 17 AS run_id, sum(doc_id % 4) AS n FROM documents GROUP BY 1)
+SELECT CAST(run_id AS BIGINT) AS run_id, CAST(coalesce(q.n, 0) AS BIGINT) AS unjudged, CAST(coalesce(r.n, 0) AS BIGINT) AS duplicates_removed FROM q FULL JOIN r USING (run_id)""")
+def not_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").groupBy((F.col("conv_id") % 17).cast("long").alias("run_id"), "conv_id").agg(F.count("*").alias("quarantined_utterances"))
+    r = table(spark, sf_dir, "documents").select((F.col("doc_id") % 17).alias("run_id"), F.col("doc_id").alias("session_seq"), F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("ids"))
+    return review.not_counted(c, r)
