@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..functions.similarity import most_apart, profile
+from ..functions.similarity import may_reach, most_apart, placed_runs, profile
 from ..functions.similarity import ratio as compared
 from .common import materialize
 from .components import components
@@ -87,7 +87,8 @@ def bucketed_range_join(left: DataFrame, right: DataFrame, at: str, width: int,
 def _linked(ratio: float, window: int):
     """For one chunk of earlier rows (side 0) and one of later ones (side 1): the pairs that are nearly equal.
 
-    Lengths and times rule out most pairs, the profiles of short runs of characters, made once for each row, most of the others; what is left is compared.
+    Lengths and times rule out most pairs, the counts of characters most of the others, and runs of characters near their own places, made once for each row, nearly all that are
+    unlike; what is left is compared.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -97,22 +98,23 @@ def _linked(ratio: float, window: int):
             x, y = left["key"].to_pylist(), right["key"].to_pylist()
             n, m, at, bt = (np.array(t[c].to_pylist(), np.int64) for t, c in ((left, "n"), (right, "n"), (left, "at"), (right, "at")))
             ids, jds, sources, others = left["id"].to_pylist(), right["id"].to_pylist(), left["source"].to_pylist(), np.array(right["source"].to_pylist(), object)
-            bits = max(8, min(15, int(8 * max(n.max(), m.max())).bit_length()))
-            profiles, known = np.stack([profile(t, bits) for t in y]).astype(np.int32), {}
+            profiles, runs, known = np.stack([profile(t) for t in y]).astype(np.int32), {}, {}
             for i, key in enumerate(x):
                 total = n[i] + m
                 fit = (bt >= at[i]) & (bt - at[i] <= window) & (2 * np.minimum(n[i], m) >= ratio * total - 1e-9) & (others != sources[i])
                 near = np.flatnonzero(fit)
                 if not len(near):
                     continue
-                own = profile(key, bits).astype(np.int32)
+                own, placed = profile(key).astype(np.int32), None
                 apart = np.abs(profiles[near] - own).sum(axis=1)
                 for j in near[apart <= most_apart(total[near], ratio)].tolist():
                     if key == y[j] or (at[i], ids[i]) >= (bt[j], jds[j]):
                         continue
                     pair = (key, y[j])
                     if pair not in known:
-                        known[pair] = compared(key, y[j], ratio) >= ratio
+                        placed = placed_runs(key) if placed is None else placed
+                        runs[j] = placed_runs(y[j]) if j not in runs else runs[j]
+                        known[pair] = may_reach(placed, runs[j], n[i], m[j], ratio) and compared(key, y[j], ratio) >= ratio
                     if known[pair]:
                         out_a.append(ids[i])
                         out_b.append(jds[j])

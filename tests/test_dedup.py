@@ -122,3 +122,42 @@ def test_components_by_stars_and_at_once(spark):
     frame = spark.createDataFrame(edges, "a string, b string")
     stars, once = ({(r.node, r.root) for r in components.components(frame, small).collect()} for small in (0, 1000))
     assert stars == once and ("m200", "m000") in once
+
+
+def _syllables(rng, n):
+    return "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", ". ", ", ", " the ", " of "]) for _ in range(n))
+
+
+def test_placed_runs_bound_is_sound():
+    from corpusloom.functions.similarity import may_reach, placed_runs
+
+    rng = random.Random(8)
+    linked = 0
+    for _ in range(300):
+        a = _syllables(rng, rng.randint(0, 200))
+        b = list(a)
+        for _ in range(int(len(a) * rng.choice([0.02, 0.05, 0.07, 0.09]))):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
+        if rng.random() < 0.3:  # the edits side by side
+            k = rng.randint(0, len(a))
+            b = list(a[:k] + "zq" * int(len(a) * 0.04) + a[k:])
+        b = "".join(b)
+        for x, y in ((a, b), (b, a)):
+            if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92:
+                linked += 1
+                assert may_reach(placed_runs(x), placed_runs(y), len(x), len(y), 0.92)
+    assert linked > 200
+
+
+def test_unlike_texts_of_common_syllables_are_not_compared(monkeypatch):
+    """Texts that share most of their syllables, and so many runs of characters, are told apart without a search for blocks."""
+    import pyarrow as pa
+
+    rng, calls = random.Random(3), []
+    monkeypatch.setattr(dedup, "compared", lambda a, b, least: calls.append(1) or ratio(a, b, least))
+    texts = [_syllables(rng, 600) for _ in range(60)]
+    texts += [t[:300] + "new" + t[300:] for t in texts[:5]]
+    one = [{"side": s, "id": f"u{i:02d}", "source": f"s{i}", "at": i, "n": len(t), "key": t} for s in (0, 1) for i, t in enumerate(texts)]
+    found = dedup._linked(0.92, 1000)(pa.Table.from_pylist(one))
+    assert sorted(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == [(f"u{i:02d}", f"u{60 + i:02d}") for i in range(5)] and len(calls) <= 10
