@@ -210,9 +210,10 @@ def event_log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, _EVENT_KINDS))
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("run_id"), (F.col("event_id") % 5).cast("long").alias("step_id"), F.col("event_id").cast("long").alias("event_id"), F.timestamp_seconds(F.expr("event_id div 3")).alias("at"), kinds[(F.col("event_id") * 7 % 5).cast("int")].alias("kind"))
     log, kept, marks = (_folder(spark, x) for x in ("log", "states", "marks"))
-    # Of two copies one comes early and one late, in other files.
-    e.union(e).repartition(3, F.rand(5)).write.parquet(log)
-    stream = spark.readStream.schema(event_log.EVENT).option("maxFilesPerTrigger", 1).parquet(log)
+    # Of two copies one comes early and one late, in other files; about a third of the files comes at a time.
+    each = max(1, spark.sparkContext.defaultParallelism // 3)
+    e.union(e).repartition(3 * each, F.rand(5)).write.parquet(log)
+    stream = spark.readStream.schema(event_log.EVENT).option("maxFilesPerTrigger", each).parquet(log)
     event_log.keep(spark, stream, kept, marks)
     return event_log.kept(spark, kept).select("run_id", "step_id", "event_id", "status")
 

@@ -1,18 +1,14 @@
 """The event log of runs as a stream: by run and step the state in force, kept up as events arrive.
 
 An event is (run_id, step_id, event_id, at, kind). What counts for a step is its latest lifecycle event, by time and then by id, so that neither the split
-into micro-batches nor late or repeated events change the result; ``settle`` is the same over a finished log. The state of a run holds one such event for each
-of its steps, however long the log is.
+into micro-batches nor late or repeated events change the result; ``settle`` is the same over a finished log. The stream's state is an aggregation: one such
+event for each step of a run, however long the log is, and the events of a micro-batch combine before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import partitions
 from ..operators.common import materialize
@@ -22,7 +18,6 @@ STATUS_OF = {"artifact_produced": "produced", "artifact_verified": "verified_det
 #: Runs whose states share one partition of the kept table.
 BUCKETS = 64
 EVENT = "run_id long, step_id long, event_id long, at timestamp, kind string"
-STATE = "steps array<struct<step_id: long, at: timestamp, event_id: long, kind: string>>"
 OUT = "run_id long, step_id long, at timestamp, event_id long, kind string"
 
 
@@ -40,25 +35,10 @@ def settle(events: DataFrame) -> DataFrame:
     return latest.select("run_id", "step_id", "e.at", "e.event_id", status(F.col("e.kind")).alias("status"))
 
 
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The latest event of each step of a run, from what was known and what has come."""
-    known = {row[0]: tuple(row[1:]) for row in (state.get[0] if state.exists else [])}
-    changed = set()
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            new = (row.at, row.event_id, row.kind)
-            if row.step_id not in known or new > tuple(known[row.step_id]):
-                known[row.step_id] = new
-                changed.add(row.step_id)
-    state.update(([(k, *v) for k, v in known.items()],))
-    if changed:
-        yield pd.DataFrame([(key[0], k, *known[k]) for k in sorted(changed)], columns=["run_id", "step_id", "at", "event_id", "kind"])
-
-
 def updates(events: DataFrame) -> DataFrame:
-    """A stream of the steps whose state a micro-batch changed; ``events`` is a stream."""
-    grouped = lifecycle(events).groupBy("run_id")
-    return grouped.applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """A stream of the states in force of the steps that a micro-batch has events of; ``events`` is a stream."""
+    latest = lifecycle(events).groupBy("run_id", "step_id").agg(F.max(F.struct("at", "event_id", "kind")).alias("e"))
+    return latest.select("run_id", "step_id", "e.at", "e.event_id", "e.kind")
 
 
 def keep(spark: SparkSession, events: DataFrame, path: str, checkpoint: str):

@@ -90,6 +90,13 @@ def test_micro_batches_in_any_split(spark, tmp_path, seed):
     assert done == {r: (n := sum(v[2] == "promoted" for k, v in best.items() if k[0] == r), 100 * n // 3) for r in {k[0] for k in best}}
 
 
+def test_a_stream_of_events_runs_without_python(spark, tmp_path):
+    """The events of a micro-batch combine in an aggregation; none is handed to Python row by row."""
+    (tmp_path / "in").mkdir()
+    plan = events.updates(spark.readStream.schema(events.EVENT).json(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
+
+
 def by_hand(records, fan):
     level = [hashlib.sha256(json.dumps(r, separators=(",", ":"), sort_keys=True).encode()).hexdigest() for r in sorted(records, key=lambda r: r["record_id"])]
     n = len(level)
