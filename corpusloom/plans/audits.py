@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,14 @@ def _text_node(x: Column) -> Column:
     return F.concat(F.lit('{"type":"text",'), F.substring(F.to_json(F.struct(x.alias("text"))), F.lit(2), F.lit(1 << 30)))
 
 
-def _composer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _composer_items(spark: SparkSession, sf_dir: str, placed: Callable[[DataFrame, Column], Column] = lambda turns, name: name) -> DataFrame:
     """Conversations as composers, turns as bubbles beside an editor state of depth 4; by turn: exact, a nudge, no state, a conflict, other white space, a mention.
 
-    Every fifth composer names another id, every fifth is one of several tries; every seventh misses its odd bubbles.
+    Every fifth composer names another id, every fifth is one of several tries; every seventh misses its odd bubbles. ``placed``: the path of a turn in the store of that name.
     """
     k = F.when(F.col("turn") % 12 == 9, 0).otherwise(F.col("turn") % 6)
-    rows = _turns(spark, sf_dir).withColumn("k", k).withColumn("c", F.concat(F.lit("c"), "conv_id")).withColumn("b", F.concat(F.lit("b"), "turn")).withColumn("path", F.concat(F.lit("s"), F.pmod("conv_id", F.lit(3))))
+    turns = _turns(spark, sf_dir)
+    rows = turns.withColumn("k", k).withColumn("c", F.concat(F.lit("c"), "conv_id")).withColumn("b", F.concat(F.lit("b"), "turn")).withColumn("path", placed(turns, F.concat(F.lit("s"), F.pmod("conv_id", F.lit(3)))))
     heads = F.struct(F.lit(12).alias("_v"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise(F.col("c")).alias("composerId"), F.when(F.col("conv_id") % 5 == 1, True).alias("isBestOfNSubcomposer"), F.col("h").alias("fullConversationHeadersOnly"))
     own = rows.groupBy("path", "conv_id", "c").agg(F.collect_list(F.struct(F.col("b").alias("bubbleId"), F.lit(1).alias("type"))).alias("h")).select("path", F.concat(F.lit("composerData:"), "c").alias("key"), F.to_json(heads).alias("value"))
     mention = F.when(F.col("k") == 5, '{"type":"mention","mentionName":"f.py"},{"type":"text","text":" "},').otherwise("")

@@ -76,6 +76,12 @@ def _open(content: bytes, log: bytes | None = None) -> sqlite3.Connection:
     return con
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """path, content and log of each store of a batch; the bytes of one at a time."""
+    for row in zip(*(batch.column(c) for c in ("path", "content", "log")), strict=True):
+        yield tuple(x.as_py() for x in row)
+
+
 def store_files(spark: SparkSession, path: str, pattern: str = "*.db", most: int = MOST_STORE_BYTES) -> DataFrame:
     """path, content, log: the stores, and the write-ahead logs beside those in that mode. Stores over ``most`` bytes are left out; ``oversize`` reports them."""
     read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).where(F.col("length") <= most)
@@ -96,7 +102,7 @@ def structure(stores: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content, log in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "log")), strict=True):
+            for path, content, log in _each(batch):
                 try:
                     con = _open(content, log)
                     tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
@@ -127,7 +133,7 @@ def read_table(stores: DataFrame, table: str, columns: dict[str, str], where: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = {"string": lambda x: isinstance(x, str), "double": lambda x: isinstance(x, (int, float)), "long": lambda x: isinstance(x, int)}
         for batch in batches:
-            for path, content, log in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "log")), strict=True):
+            for path, content, log in _each(batch):
                 try:
                     con = _open(content, log)
                     own = {r[1].lower(): r[1] for r in con.execute(f'PRAGMA table_info("{table}")')}

@@ -32,3 +32,19 @@ def alike(spark, tmp_path_factory):
 def test_a_handed_over_task_is_no_other_one_that_begins_alike(spark, alike):
     got, want = compared(spark, alike, "task_times")
     assert got == want and len(want) == 288
+
+
+def test_files_of_made_stores_stay_small(spark, alike, monkeypatch):
+    """Three times the conversations are in more files, not in larger ones, and the results are those of whole stores."""
+    from corpusloom.plans import databases
+
+    sizes, build = [], databases.made_stores
+    monkeypatch.setattr(databases, "made_stores", lambda rows, tables: sizes.append(rows.groupBy("path").count().agg(F.max("count")).first()[0]) or build(rows, tables))
+    monkeypatch.setattr(databases, "FILE_TURNS", 40)
+    for name in FILED:
+        got, want = compared(spark, alike, name)
+        assert got == want and want, name
+    assert len(sizes) >= len(FILED) and max(sizes) <= 180
+
+
+FILED = ["composer_store_utterances"]
