@@ -76,19 +76,21 @@ def rows_of_survivors(utterances: DataFrame, survivors: DataFrame) -> tuple[Data
     return utterances.join(survivors.select("utterance_id"), "utterance_id", "left_semi"), utterances.join(survivors.select("utterance_id"), "utterance_id", "left_anti")
 
 
-def redistribute(spark: SparkSession, path: str, schema: str, survivors: DataFrame) -> tuple[int | None, DataFrame]:
-    """Take the rows that deduplication removed out of a table of sessions. Only sessions that lose rows are written anew, all in one change.
+def redistribute(spark: SparkSession, path: str, schema: str, survivors: DataFrame, key: str = "session_seq") -> tuple[int | None, DataFrame]:
+    """Take the rows that deduplication removed out of a table of sessions. Only folders with sessions that lose rows are written anew, all in one change.
 
-    ``schema``: the rows' columns without ``session_seq``, with ``utterance_id`` and ``i``. A session that loses every row stays as an empty one: it isn't among the
-    partitions any more but in the second result. Returns the new version (None if nothing changed) and (session_seq, removed, kept) of the sessions affected.
+    ``schema``: the rows' columns without ``key``, by which ``write_sessions`` dealt the sessions into folders, with ``utterance_id`` and ``i``. A session that loses every row stays as an empty one: it
+    isn't among the partitions any more but in the second result. Returns the new version (None if nothing changed) and (session_seq, removed, kept) of the sessions affected.
     """
-    rows = partitions.read(spark, path, schema, "session_seq")
-    lost = rows.join(survivors.select("utterance_id"), "utterance_id", "left_anti").groupBy("session_seq").agg(F.count("*").alias("removed"))
+    rows, by = partitions.read(spark, path, schema, key), sorted({key, "session_seq"})
+    lost = rows.join(survivors.select("utterance_id"), "utterance_id", "left_anti").groupBy(*by).agg(F.count("*").alias("removed"))
     lost = materialize(lost, "lost")
     if lost.isEmpty():
-        return None, lost.withColumn("kept", F.lit(0).cast("long"))
-    kept = rows.join(lost.select("session_seq"), "session_seq", "left_semi").join(survivors.select("utterance_id"), "utterance_id", "left_semi")
-    counts = kept.groupBy("session_seq").agg(F.count("*").alias("kept"))
-    affected = materialize(lost.join(counts, "session_seq", "left").na.fill(0, ["kept"]), "affected")
-    version = partitions.change(kept, path, "session_seq", ["i"], removed=affected.where("kept = 0"))
-    return version, affected
+        return None, lost.select("session_seq", "removed").withColumn("kept", F.lit(0).cast("long"))
+    touched = rows.join(lost.select(key).distinct(), key, "left_semi")
+    kept = touched.join(survivors.select("utterance_id"), "utterance_id", "left_semi")
+    counts = kept.groupBy(*by).agg(F.count("*").alias("kept"))
+    affected = materialize(lost.join(counts, by, "left").na.fill(0, ["kept"]), "affected")
+    empty = lost.select(key).distinct().join(counts.select(key), key, "left_anti")
+    version = partitions.change(kept, path, key, ["i"] if key == "session_seq" else ["session_seq", "i"], removed=empty)
+    return version, affected.select("session_seq", "removed", "kept")

@@ -57,9 +57,12 @@ def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def write_sessions(rows: DataFrame, path: str) -> int:
-    """JSON lines, a folder for each session, rows in their order; sessions that aren't in ``rows`` keep their files. Returns the version."""
-    return partitions.change(rows, path, "session_seq", ["i"])
+def write_sessions(rows: DataFrame, path: str, key: str = "session_seq") -> int:
+    """JSON lines, a folder for each session, rows in their order; sessions that aren't in ``rows`` keep their files. Returns the version.
+
+    With another ``key``, a column that depends on the session alone, sessions share a folder, and ``rows`` have all those of the folders that they name.
+    """
+    return partitions.change(rows, path, key, ["i"] if key == "session_seq" else ["session_seq", "i"])
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -17,6 +17,9 @@ from .raw import _turns, sql_strip
 from .registry import query, sql_count_words
 from .tables import START, conversation_utterances, document_utterances, table
 
+#: About as many rows of sessions share a folder.
+FOLDER_ROWS = 10_000
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one."""
@@ -290,13 +293,14 @@ def package_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY conv_id, turn) = 1 AS kept FROM conversations)
 SELECT conv_id AS session_seq, conv_id || ':' || turn AS utterance_id, CAST(turn AS BIGINT) AS i FROM u WHERE kept""")
 def redistributed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as a table of partitions, of which only those that lose rows to deduplication are written anew."""
+    """Sessions as a table of partitions, of which only those that lose rows to deduplication are written anew. Sessions share a folder, so that files don't grow in number with them."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_seq"), F.concat_ws(":", "conv_id", "turn").alias("utterance_id"), F.col("turn").cast("long").alias("i"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    path = _folder(spark, "sessions")
-    verification.write_sessions(rows.drop("h"), path)
+    path, folders = _folder(spark, "sessions"), max(1, rows.count() // FOLDER_ROWS)
+    verification.write_sessions(rows.drop("h").withColumn("folder", F.pmod(F.xxhash64("session_seq"), F.lit(folders))), path, "folder")
     first = rows.groupBy("h").agg(F.min(F.struct("session_seq", "i", "utterance_id")).alias("m")).select("m.utterance_id")
-    collect.redistribute(spark, path, "utterance_id string, i long", first)
-    return partitions.read(spark, path, "utterance_id string, i long", "session_seq").select("session_seq", "utterance_id", "i")
+    schema = "session_seq long, utterance_id string, i long"
+    collect.redistribute(spark, path, schema, first, "folder")
+    return partitions.read(spark, path, schema, "folder").select("session_seq", "utterance_id", "i")
 
 
 # --- Collecting, reports ---

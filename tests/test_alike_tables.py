@@ -48,3 +48,17 @@ def test_files_of_made_stores_stay_small(spark, alike, monkeypatch):
 
 
 FILED = ["composer_store_utterances", "stores_with_composers", "part_store_utterances", "store_schemas", "dictation_texts"]
+
+
+def test_sessions_share_folders(spark, alike, monkeypatch):
+    """The folders written are as many as the rows ask for, not one for each session; some lose every row."""
+    from corpusloom.operators import partitions
+    from corpusloom.plans import audits
+
+    wrote, change = [], partitions.change
+    monkeypatch.setattr(partitions, "change", lambda rows, path, key, *more, **named: wrote.append(rows.select(key).distinct().count()) or change(rows, path, key, *more, **named))
+    for most, folders in ((90, 4), (10_000, 1)):
+        wrote.clear()
+        monkeypatch.setattr(audits, "FOLDER_ROWS", most)
+        got, want = compared(spark, alike, "redistributed_sessions")
+        assert got == want and len(want) == 301 and len(wrote) == 2 and max(wrote) <= folders
