@@ -87,13 +87,19 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
+def _counted(text: Column, kind: str) -> Column:
+    """How many characters of a kind a text holds: runs of them are taken out at once, and none becomes a string of its own."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{kind})++", ""))
+
+
 def classify_english(text: Column) -> Column:
     """struct(reason, english_text): the English share of a text, or null where it is quarantined."""
     # The classes have hundreds of ranges: an ASCII character is settled before they are tried.
     latin = "[A-Za-z]|(?=[^\\x00-\\x7F])" + fixed.latin_class()
-    other = r"(?=[^\x00-\x7F])[\p{L}&&[^" + fixed.latin_class()[1:] + "]"  # a letter that isn't Latin
+    # A letter that isn't Latin; from Greek to Vedic signs none is, so most are settled at once.
+    other = r"(?=[^\x00-\x7F])(?:(?=[\x{370}-\x{1CFF}])\p{L}|[\p{L}&&[^" + fixed.latin_class()[1:] + "])"
     odd = text.rlike(other)  # texts without one need no counting
-    letters, foreign = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(other))
+    letters, foreign = _counted(text, r"\p{L}"), _counted(text, other)
     tokens = split_words(text)
     has_foreign = lambda t: t.rlike(other)
     mixes = F.exists(tokens, lambda t: has_foreign(t) & t.rlike(latin))

@@ -58,3 +58,18 @@ def test_formats(spark):
     assert values(spark, lambda t: text.describe_age(t.cast("long")), "59", "60", "7200", "90000", None) == ["just now", "1 minute ago", "2 hours ago", "1 day ago", None]
     assert values(spark, text.safe_id_part, "a:b-1", "a b")[0] == "a:b-1"
     assert values(spark, text.dedup_key, "Straße  X", "  A\tb ") == ["strasse x", "a b"]
+
+
+def test_letters_are_counted_in_runs_of_any_length(spark):
+    """A run of 200,000 letters of another script is one match (and no deep recursion); no letter becomes a string of its own. No Latin letter lies in the range that is settled first."""
+    import re
+
+    from corpusloom.functions import fixed
+
+    ranges = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{([0-9A-F]+)\}-\\x\{([0-9A-F]+)\}", fixed.latin_class())]
+    assert ranges and not any(a <= 0x1CFF and b >= 0x370 for a, b in ranges)
+    cases = ["ж" * 200_000, "漢" * 200_000, "é" * 300_000 + " ж", "one two three four five six seven eight nine ten eleven twelve да", "да" * 30 + " one"]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string").select("i", text.classify_english(F.col("x"))["reason"].alias("r"))
+    got = {r.i: r.r for r in found.collect()}
+    assert got[0] == got[1] == got[4] == "non_latin_share_exceeded" and got[3] == "non_latin_tokens_stripped" and got[2] != "non_latin_share_exceeded"
+    assert "regexp_count" not in found._jdf.queryExecution().analyzed().toString().lower()
