@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 # --- Fixed values: white space as str.split() sees it, by code point. ---
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -65,21 +67,22 @@ IDENTIFIER = (
     r"|\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b"
     r"|\b[A-Za-z0-9+/]{24,}={0,2}"
 )
-CODE = (
-    r"(?Um)[{}]"
-    r"|;\s*$"
-    r"|=>|==|!=|::|\+=|->"
-    r"|```"
-    r"|\b(?:def|const|elif|func|var)\s"
-    r"|(?:^|\n)[ \t]*(?:class|import|from|function|return|let)\b"
-    r"|(?i:(?<!the )(?<!an )(?<!a )(?<!its )(?<!our )(?<!any )(?<!each ))\bimport\s+[a-z_][a-z0-9_.]*\b"
-    r"|\b(?:class|function)\s+\w+\s*[({:]"
-    r"|\breturn\s+\w+\s*;"
-    r"|\blet\s+\w+\s*="
-    r"|\b\w+_\w+\("
-    r"|\b\w+\.\w+\("
-    r"|\)\s*;"
+CODE_PARTS = (
+    r"[{}]",
+    r";\s*$",
+    r"=>|==|!=|::|\+=|->",
+    r"```",
+    r"\b(?:def|const|elif|func|var)\s",
+    r"(?:^|\n)[ \t]*(?:class|import|from|function|return|let)\b",
+    r"(?i:(?<!the )(?<!an )(?<!a )(?<!its )(?<!our )(?<!any )(?<!each ))\bimport\s+[a-z_][a-z0-9_.]*\b",
+    r"\b(?:class|function)\s+\w+\s*[({:]",
+    r"\breturn\s+\w+\s*;",
+    r"\blet\s+\w+\s*=",
+    r"\b\w+_\w+\(",
+    r"\b\w+\.\w+\(",
+    r"\)\s*;",
 )
+CODE = "(?Um)" + "|".join(CODE_PARTS)
 NUMBER = r"(?U)\d{3,}|\d+(?:[.,]\d+)+|\d+\s?%|[$€£¥]\s?\d+|\d+\s?(?:USD|EUR|GBP)\b"
 CONTEXT_DEPENDENT = (
     r"(?Ui)\bin this (?:case|sentence|example|context)\b"
@@ -102,6 +105,61 @@ PRIVACY_CHECKS = (
     ("PRIVACY_CODE_PRESENT", CODE),
     ("PRIVACY_SUSPICIOUS_NUMBER", NUMBER),
 )
+#: The literals that a text must hold for a part of CODE to match: one of each group.
+CODE_LITERALS = (
+    (("{", "}"),),
+    ((";",),),
+    (("=>", "==", "!=", "::", "+=", "->"),),
+    (("```",),),
+    (("def", "const", "elif", "func", "var"),),
+    (("class", "import", "from", "function", "return", "let"),),
+    (("import",),),
+    (("class", "function"), ("(", "{", ":")),
+    (("return",), (";",)),
+    (("let",), ("=",)),
+    (("_",), ("(",)),
+    ((".",), ("(",)),
+    ((")",), (";",)),
+)
+
+
+class Part(NamedTuple):
+    """A part of a privacy check. A text that ``pattern`` matches holds one literal of each group and, after a line break, matches the sketch: a pattern
+    that starts at rare characters and so costs little where it finds nothing."""
+
+    pattern: str
+    literals: tuple[tuple[str, ...], ...] = ()
+    sketch: str | None = None
+    ascii_sketch: str | None = None  # where it isn't the sketch without (?U)
+
+
+_ALNUM = string.ascii_letters + string.digits
+_NO_ALNUM = "".join(f"\\x{i:02X}" for i in range(128) if chr(i) not in _ALNUM)
+#: A run that long follows another character. Java tells single characters of a class faster than ranges.
+_RUNS = f"(?:[{string.hexdigits}]{{8}}|[{_ALNUM}+/%s]{{24}})"
+#: Without regard to case, i, k and s are also these letters; hexadecimal digits have no such forms.
+_ODD_CASES = ("\u0130", "\u0131", "\u017F", "\u212A")
+_CODE_SKETCHES = {5: r"[\n\r\u0085\u2028\u2029][ \t]*(?:class|import|from|function|return|let)", 11: r"(?U)\.\w+\("}
+#: The checks in parts, of which any may match.
+PRIVACY_PARTS = {
+    "PRIVACY_URL_PRESENT": (Part(URL, (), r"(?Ui)[.:](?:(?<=\.)[a-z]{2}|(?<=www\.)\S|(?<=:)//\S)"),),
+    "PRIVACY_EMAIL_PRESENT": (Part(EMAIL, (("@",),), r"(?U)@[\w-]+\.[\w.-]"),),
+    "PRIVACY_CREDENTIAL_PATTERN": (Part(CREDENTIAL, (("sk-", "pk-", "rk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AKIA", "AIza", "PRIVATE KEY", "eyJ"),)),),
+    "PRIVACY_IDENTIFIER_PRESENT": (
+        Part(IDENTIFIER, (), f"[^{_ALNUM}]" + _RUNS % "", f"[{_NO_ALNUM}]" + _RUNS % ""),
+        Part(IDENTIFIER, (_ODD_CASES,), f"[^{_ALNUM}]" + _RUNS % "".join(_ODD_CASES)),
+    ),
+    "PRIVACY_PATH_PRESENT": (
+        Part(
+            PATH,
+            (("/", "\\"),),
+            r"(?Um)[/\\](?:(?<=(?:^|[\s\"'(\[])(?:~|\.{1,2})?/)[\w.-]|(?<=/)[\w-]+\.[A-Za-z0-9]|(?<=[A-Za-z]:[/\\])|(?<=\\)\\[\w.-]|(?<=(?:" + "|".join(PATH_ROOTS) + r")/)[\w.-])",
+        ),
+    ),
+    "PRIVACY_PHONE_PRESENT": (Part(PHONE, (), r"(?U)\d[\d\s().-]{6}"),),
+    "PRIVACY_CODE_PRESENT": tuple(Part("(?Um)" + part, literals, _CODE_SKETCHES.get(i)) for i, (part, literals) in enumerate(zip(CODE_PARTS, CODE_LITERALS, strict=True))),
+    "PRIVACY_SUSPICIOUS_NUMBER": (Part(NUMBER, (), r"(?U)\d(?:\d\d|[.,]\d|\s?%|\s?(?:USD|EUR|GBP)\b|(?<=[$€£¥]\s?\d))"),),
+}
 INVISIBLE = "PRIVACY_INVISIBLE_CHARACTER"
 MAX_EXAMPLE_WORDS = 15
 SOURCE_TYPES = ("aider", "claude_code", "cline", "codex", "cursor", "gemini_cli", "opencode", "roo_code", "wispr_flow")
@@ -113,6 +171,8 @@ LOOKALIKES = (
     ("αονρτυκιμγχ", "aovptukiuyx"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
 )
+#: Greek, Cyrillic and its supplement hold them all: one range is told faster than a hundred letters.
+LOOKALIKE_RANGE = r"[\u0370-\u052F]"
 
 # --- Fixed values: packages. ---
 VERSION_FIELDS = ("client_version", "producer_version", "privacy_verifier_version")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,9 +27,15 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _without_format(text: str) -> str:
+    for c in {c for c in set(text) if unicodedata.category(c) == "Cf"}:
+        text = text.replace(c, "")
+    return text
+
+
 @F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"), na_action="ignore")
+    return texts.map(lambda t: _without_format(unicodedata.normalize("NFKC", t)), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -123,23 +131,45 @@ def english_words(text: Column) -> Column:
     return count_words(F.coalesce(classify_english(text)["english_text"], F.lit("")))
 
 
+def _has_part(text: Column, part: fixed.Part, ascii_only: bool) -> Column:
+    """Whether a part of a privacy check matches. In ASCII texts, Unicode's classes are those of ASCII, which Java tells faster: (?U) goes."""
+    plain = lambda p: p.replace("(?U)", "").replace("(?U", "(?") if ascii_only else p
+    needs = [reduce(or_, (F.contains(text, F.lit(x)) for x in group)) for group in part.literals]
+    if part.sketch:
+        needs.append(F.concat(F.lit("\n"), text).rlike(ascii_only and part.ascii_sketch or plain(part.sketch)))
+    if part.pattern == fixed.URL:  # abbreviations written like domains don't count
+        allowed = F.array(*map(F.lit, fixed.ABBREVIATIONS_NOT_DOMAINS))
+        needs.append(F.exists(F.regexp_extract_all(text, F.lit(plain(part.pattern)), F.lit(0)), lambda x: ~F.array_contains(allowed, F.lower(x))))
+    else:
+        needs.append(text.rlike(plain(part.pattern)))
+    return reduce(and_, needs)
+
+
+def _by_letters(text: Column, column) -> Column:
+    """``column`` of whether the text is ASCII."""
+    return F.when(F.octet_length(text) > F.char_length(text), column(False)).otherwise(column(True))
+
+
+def _has_pattern(text: Column, code: str, ascii_only: bool) -> Column:
+    return reduce(or_, (_has_part(text, part, ascii_only) for part in fixed.PRIVACY_PARTS[code]))
+
+
 def has_pattern(text: Column, code: str) -> Column:
     """Whether a privacy pattern matches; abbreviations written like domains don't count."""
-    pattern = dict(fixed.PRIVACY_CHECKS)[code]
-    if code == "PRIVACY_URL_PRESENT":
-        allowed = F.array(*map(F.lit, fixed.ABBREVIATIONS_NOT_DOMAINS))
-        return F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: ~F.array_contains(allowed, F.lower(x)))
-    return text.rlike(pattern)
+    return _by_letters(text, lambda ascii_only: _has_pattern(text, code, ascii_only))
 
 
 def privacy_codes(text: Column) -> Column:
     """The codes of everything a text must not share, in the order of the checks."""
     plain = canonical(text)
-    folded = fold_lookalikes(plain)
-    other = F.when(folded != plain, folded)  # most texts hold no look-alike: their patterns run once
-    found = [F.when(plain != text, F.lit(fixed.INVISIBLE))]
-    found += [F.when(has_pattern(plain, code) | F.coalesce(has_pattern(other, code), F.lit(False)), F.lit(code)) for code, _ in fixed.PRIVACY_CHECKS]
-    return F.array_compact(F.array(*found))
+    folded = F.when(plain.rlike(fixed.LOOKALIKE_RANGE), F.nullif(fold_lookalikes(plain), plain))  # most texts hold no look-alike: their patterns run once
+    variants = F.array_compact(F.array(plain, folded))
+    codes = [code for code, _ in fixed.PRIVACY_CHECKS]
+    of = lambda t, ascii_only: F.array_compact(F.array(*(F.when(_has_pattern(t, code, ascii_only), F.lit(code)) for code in codes)))
+    # Within a function of arrays, a variant is made once and not for each of its patterns.
+    hits = F.transform(variants, lambda t: _by_letters(t, lambda ascii_only: of(t, ascii_only)))
+    found = F.array_intersect(F.array(*map(F.lit, codes)), F.flatten(hits))
+    return F.concat(F.array_compact(F.array(F.when(plain != text, F.lit(fixed.INVISIBLE)))), found)
 
 
 def version_codes(text: Column) -> Column:

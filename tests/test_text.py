@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import fixed, text
 
 
 def values(spark, column, *inputs):
@@ -73,3 +77,65 @@ def test_letters_are_counted_in_runs_of_any_length(spark):
     got = {r.i: r.r for r in found.collect()}
     assert got[0] == got[1] == got[4] == "non_latin_share_exceeded" and got[3] == "non_latin_tokens_stripped" and got[2] != "non_latin_share_exceeded"
     assert "regexp_count" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def _plain_hit(column, code):
+    """A privacy check by its whole pattern alone."""
+    pattern = dict(fixed.PRIVACY_CHECKS)[code]
+    if code == "PRIVACY_URL_PRESENT":
+        allowed = F.array(*map(F.lit, fixed.ABBREVIATIONS_NOT_DOMAINS))
+        return F.exists(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda x: ~F.array_contains(allowed, F.lower(x)))
+    return column.rlike(pattern)
+
+
+def _plain_codes(column):
+    """``privacy_codes`` by whole patterns alone."""
+    plain = text.canonical(column)
+    folded = text.fold_lookalikes(plain)
+    hits = [F.when(_plain_hit(plain, code) | _plain_hit(folded, code), F.lit(code)) for code, _ in fixed.PRIVACY_CHECKS]
+    return F.array_compact(F.array(F.when(plain != column, F.lit(fixed.INVISIBLE)), *hits))
+
+
+def test_privacy_parts_find_what_whole_patterns_find(spark):
+    """Random texts of pieces that the patterns are made of, half of them with characters beyond ASCII; every check alone and the scan."""
+    rng = random.Random(6)
+    plain = [
+        *"aZk09_-+./\\:;=@~%$(){}[]<>`'\",!# \n\t\r\x1c", " ", " ", "\n", "www.", "http", "://", ".io", "et.al", "sk-", "ghp_", "xoxb-", "AKIA", "eyJ", "BEGIN ", "RSA PRIVATE KEY", "deadbeef", "0a1b2c3d", "-1234", "ABCDEFGH12",
+        "def ", "const", "class ", "import ", "from", "return ", "let ", "the import x", "function f", "src/", "tmp/", "C:\\", "\\\\a", "./", "../", "12", "1,5", "7 %", "USD", " EUR", "+1 (555) 010-99", "```", "=>", "::", "word", "x.y(", "a_b(", ") ;", "x@y", "me@b.c", "@z.", "sk-abcdefgh", "gho_ABCDEFGH", "AIza01234567", "return x",
+    ]
+    beyond = [*"éßжоса漢İıſ\u212A\u0301\u0345\u200d\u200b\u00ad\u0085\u2028\u2029\u00a0\u3000€£¥４٣ªⅧ＠．／😀\ufffd", "а.iо", "кey", "１２３", "٣٣٣", "www．", "İABCDEFGHIJKLMNOPQRSTUVWX", "abcdefghſjklmnopqrstuvwxyz", "éabcdef012", "abcdefabcdé1"]
+    cases = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for pieces in (plain, plain + beyond * 2) for _ in range(6000)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*cases, None])], "i int, t string").repartition(4)
+    for code, _ in fixed.PRIVACY_CHECKS:
+        mine, whole = F.coalesce(text.has_pattern(F.col("t"), code), F.lit(False)), F.coalesce(_plain_hit(F.col("t"), code), F.lit(False))
+        differ = rows.select("i", mine.alias("mine"), whole.alias("whole")).where("mine != whole").limit(5).collect()
+        assert not differ, (code, [(r.mine, r.whole, cases[r.i]) for r in differ])
+        assert rows.where(whole).limit(20).count() == 20
+    differ = rows.select("i", text.privacy_codes(F.col("t")).alias("mine"), _plain_codes(F.col("t")).alias("whole")).where("mine != whole").limit(5).collect()
+    assert not differ, [(r.mine, r.whole, cases[r.i]) for r in differ]
+
+
+def test_odd_cases_and_lookalikes_are_all_known(spark):
+    """Characters beyond ASCII that match a class of ASCII letters without regard to case are those stated; the range holds every look-alike."""
+    chars = spark.range(128, 0x30000).where("id not between 55296 and 57343").select(F.col("id"), F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c"))
+    assert {chr(r.id) for r in chars.where(F.col("c").rlike("(?Ui)[A-Za-z0-9+/]")).collect()} == set(fixed._ODD_CASES)
+    assert chars.where(F.col("c").rlike("(?Ui)[0-9a-f]")).count() == 0
+    low, high = (int(x, 16) for x in re.findall(r"u([0-9A-F]{4})", fixed.LOOKALIKE_RANGE))
+    assert all(low <= ord(c) <= high for a, _ in fixed.LOOKALIKES for c in a)
+
+
+def test_privacy_scan_of_texts_without_finds_is_fast(spark):
+    """Texts without anything private cost a small part of what the whole patterns cost."""
+    rng = random.Random(7)
+    prose = ["So " + " ".join(rng.choices(["the", "class", "of", "people", "said", "about", "été", "déjà", "when", "completely", "return"][: 6 + 5 * (i % 2)], k=2500)) + "." for i in range(320)]
+    rows = spark.createDataFrame([(x,) for x in prose], "t string").repartition(4).cache()
+    rows.count()
+
+    def seconds(column):
+        began = time.monotonic()
+        assert rows.select(F.sum(F.size(column))).first()[0] == 0
+        return time.monotonic() - began
+
+    seconds(text.privacy_codes(F.col("t"))), seconds(_plain_codes(F.col("t")))
+    assert 2 * min(seconds(text.privacy_codes(F.col("t"))) for _ in range(2)) < seconds(_plain_codes(F.col("t")))
+    rows.unpersist()
